@@ -2,13 +2,33 @@
 
 from __future__ import annotations
 
-from . import simhash
+from pyspark.sql import functions as F
+
+from . import simhash, toxicity
 from .common import table
 
 
+def held_out(folds: int, fold: int):
+    """True for rows of the fold that labels are never learned from; rows without an id are in none."""
+    return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % folds == fold, F.lit(False)).alias("held_out")
+
+
 def op1_simhash(spark, sf_dir):
     return simhash.simhash_clusters(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op1_simhash": op1_simhash}
+def op4_toxicity(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    scored = toxicity.score_documents(docs, toxicity.learn(docs, table(spark, sf_dir, "labels")))
+    return scored.select(
+        "doc_id",
+        held_out(3, 1),
+        F.col("toxicity").alias("score"),
+        (F.col("toxicity") >= 0.7).cast("int").alias("predicted"),
+        "toxic_tokens",
+        F.to_json("toxic_spans").alias("spans"),
+    )
+
+
+QUERIES = {"op1_simhash": op1_simhash, "op4_toxicity": op4_toxicity}
 ORACLES: dict[str, str] = {}
