@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import functions as F
 
-from . import simhash, toxicity
+from . import bpe, pii, simhash, toxicity
 from .common import table
 
 
@@ -17,6 +18,14 @@ def op1_simhash(spark, sf_dir):
     return simhash.simhash_clusters(table(spark, sf_dir, "documents"))
 
 
+def op2_bpe(spark, sf_dir):
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    encoded = bpe.encode_documents(table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN)
+    return bpe.decode_documents(encoded, path, public_tokenizers.PATTERN).select(
+        "doc_id", "n_tokens", F.sha2("token_ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256")
+    )
+
+
 def op4_toxicity(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     scored = toxicity.score_documents(docs, toxicity.learn(docs, table(spark, sf_dir, "labels")))
@@ -30,5 +39,22 @@ def op4_toxicity(spark, sf_dir):
     )
 
 
-QUERIES = {"op1_simhash": op1_simhash, "op4_toxicity": op4_toxicity}
+def op10_pii(spark, sf_dir):
+    found = pii.find_personal_data(table(spark, sf_dir, "documents"))
+    base = F.filter("spans", lambda s: s["kind"].isin(*pii.BASE))
+    return found.select(
+        "doc_id",
+        *(pii.count_of("spans", kind).alias(f"n_{kind}") for kind in pii.BASE),
+        F.sha2(pii.joined(base), 256).alias("base_sha256"),
+        pii.joined("spans").alias("spans"),
+        F.array_join(F.transform("spans", lambda s: F.format_string("%.2f", s["score"])), ",").alias("scores"),
+    )
+
+
+QUERIES = {
+    "op1_simhash": op1_simhash,
+    "op2_bpe": op2_bpe,
+    "op4_toxicity": op4_toxicity,
+    "op10_pii": op10_pii,
+}
 ORACLES: dict[str, str] = {}
