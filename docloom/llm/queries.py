@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from . import bpe, pii, simhash, toxicity
+from . import bpe, pii, quality, simhash, toxicity
 from .common import table
 
 
@@ -39,6 +39,14 @@ def op4_toxicity(spark, sf_dir):
     )
 
 
+def op7_quality(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    scored = quality.score_documents(docs, quality.learn(docs, table(spark, sf_dir, "labels")))
+    return scored.select(
+        "doc_id", held_out(5, 0), F.col("quality").alias("score"), (F.col("quality") >= 0.3).cast("int").alias("predicted")
+    )
+
+
 def op10_pii(spark, sf_dir):
     found = pii.find_personal_data(table(spark, sf_dir, "documents"))
     base = F.filter("spans", lambda s: s["kind"].isin(*pii.BASE))
@@ -55,6 +63,7 @@ QUERIES = {
     "op1_simhash": op1_simhash,
     "op2_bpe": op2_bpe,
     "op4_toxicity": op4_toxicity,
+    "op7_quality": op7_quality,
     "op10_pii": op10_pii,
 }
 ORACLES: dict[str, str] = {}
