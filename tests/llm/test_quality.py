@@ -21,9 +21,9 @@ def bad(rng, n=80):
     return " ".join(w + "***" for w in words)
 
 
-def fitted(n=300):
+def fitted(n=600):
     rng = random.Random(1)
-    y = [int(rng.random() < 0.8) for _ in range(n)]
+    y = [int(rng.random() < 0.6) for _ in range(n)]
     return Q.train([good(rng) if v else bad(rng) for v in y], y)
 
 
