@@ -1,8 +1,8 @@
 """Quality by nearest-neighbour voting over latent-semantic vectors.
 
 A document is a hashed tf-idf vector of its words beside a vector of its style: the shares of its words that
-have a shape (case and punctuation) or repeat the word before.  Both parts have length one, and a truncated
-singular value decomposition fitted on labelled documents reduces them together.  Every document is compared with all labelled vectors
+have a shape (case and punctuation) or repeat the word before.  The first part has length 1, the second
+STYLE_LENGTH, and a truncated singular value decomposition fitted on labelled documents reduces them together.  Every document is compared with all labelled vectors
 (cosines in blocks, exactly); the K nearest vote with their label, weighted by similarity.
 
 The labelled vectors are bounded: at most `per_class` documents of each label, those with the least hashes
@@ -23,6 +23,7 @@ from .toxicity import sample_labels
 PER_CLASS = 1500
 WORD_SLOTS, STYLE_SLOTS = 1 << 13, 1 << 9
 SLOTS = WORD_SLOTS + STYLE_SLOTS
+STYLE_LENGTH = 2.0
 RANK = 64
 K = 25
 SHARPNESS = 12.0
@@ -72,12 +73,12 @@ class Terms:
 
 
 def balanced(slots: np.ndarray, weights: np.ndarray) -> np.ndarray:
-    """Weights with the word part and the style part at length one each."""
+    """Weights with the word part at length 1 and the style part at STYLE_LENGTH."""
     cut = int(np.searchsorted(slots, WORD_SLOTS))
-    for part in (weights[:cut], weights[cut:]):
+    for part, length in ((weights[:cut], 1.0), (weights[cut:], STYLE_LENGTH)):
         size = np.sqrt((part * part).sum())
         if size > 0:
-            part /= size
+            part *= length / size
     return weights
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from . import bpe, pii, quality, simhash, toxicity
+from . import bpe, html_text, pii, quality, simhash, toxicity
 from .common import table
 
 
@@ -47,6 +47,12 @@ def op7_quality(spark, sf_dir):
     )
 
 
+def op9_html(spark, sf_dir):
+    return html_text.extract_pages(table(spark, sf_dir, "pages")).select(
+        "page_id", "url", "text", F.length("text").cast("long").alias("n_chars")
+    )
+
+
 def op10_pii(spark, sf_dir):
     found = pii.find_personal_data(table(spark, sf_dir, "documents"))
     base = F.filter("spans", lambda s: s["kind"].isin(*pii.BASE))
@@ -64,6 +70,7 @@ QUERIES = {
     "op2_bpe": op2_bpe,
     "op4_toxicity": op4_toxicity,
     "op7_quality": op7_quality,
+    "op9_html": op9_html,
     "op10_pii": op10_pii,
 }
 ORACLES: dict[str, str] = {}
