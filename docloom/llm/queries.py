@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from . import bpe, html_text, pii, quality, simhash, toxicity
+from . import bpe, fingerprints, html_text, pii, quality, simhash, toxicity
 from .common import table
 
 
@@ -39,6 +39,10 @@ def op4_toxicity(spark, sf_dir):
     )
 
 
+def op5_fingerprints(spark, sf_dir):
+    return fingerprints.fingerprint_documents(table(spark, sf_dir, "documents"))
+
+
 def op7_quality(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     scored = quality.score_documents(docs, quality.learn(docs, table(spark, sf_dir, "labels")))
@@ -69,6 +73,7 @@ QUERIES = {
     "op1_simhash": op1_simhash,
     "op2_bpe": op2_bpe,
     "op4_toxicity": op4_toxicity,
+    "op5_fingerprints": op5_fingerprints,
     "op7_quality": op7_quality,
     "op9_html": op9_html,
     "op10_pii": op10_pii,

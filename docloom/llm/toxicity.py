@@ -46,7 +46,7 @@ def word_features(word: str) -> list[str]:
     found = ["w" + word]
     found += [f"p{n}{word[:n]}" for n in PREFIXES if len(word) > n]
     found.append("s" + word[-3:])
-    found.append("d" if any(c.isdigit() for c in word) else "l%d" % min(len(word), 12))
+    found.append("l%d" % min(len(word), 12) if word.isalpha() else "d")
     return found
 
 
@@ -166,16 +166,26 @@ def summary(chances: list[np.ndarray]) -> np.ndarray:
 
 
 def mark_tokens(documents: list[list[str]], toxic: list[int]) -> set[str]:
-    """Words and prefixes ("w..." and "p<n>...") that mark toxic tokens."""
+    """Words and prefixes ("w..." and "p<n>...") that mark toxic tokens.
+
+    Only those of toxic documents are counted; what no toxic document has marks nothing."""
     counts = [Counter(), Counter()]
-    sizes = [0, 0]
-    for words, y in zip(documents, toxic):
-        sizes[y] += 1
-        keys = {k for w in set(words) for k in word_features(w) if k[0] in "wp"}
-        counts[y].update(keys)
+    sizes = [toxic.count(0), toxic.count(1)]
+    features: dict[str, list[str]] = {}
+    for y in (1, 0):
+        for words in (d for d, v in zip(documents, toxic) if v == y):
+            keys: set[str] = set()
+            for w in set(words):
+                if w not in features:
+                    features[w] = [k for k in word_features(w) if k[0] in "wp" and (y or k in counts[1])]
+                keys.update(features[w])
+            counts[y].update(keys)
+        if y:
+            least = max(LEAST_DOCUMENTS, sizes[1] / 50)
+            counts[1] = Counter({k: a for k, a in counts[1].items() if a >= least})
+            features.clear()
     ratio = (sizes[0] + 1) / (sizes[1] + 1)
-    least = max(LEAST_DOCUMENTS, sizes[1] / 50)
-    return {k for k, a in counts[1].items() if a >= least and (a + 0.5) / (counts[0][k] + 0.5) * ratio >= LEAST_ODDS}
+    return {k for k, a in counts[1].items() if (a + 0.5) / (counts[0][k] + 0.5) * ratio >= LEAST_ODDS}
 
 
 def without_copies(documents: list[list[str]]) -> list[int]:
@@ -203,8 +213,9 @@ def train(texts: list[str], toxic: list[int]) -> Model:
     marks = mark_tokens(documents, y)
     index: dict[str, int] = {}
     types = np.array([index.setdefault(w, len(index)) for d in documents for w in d])
-    marked = np.array([any(k in marks for k in word_features(w)) for w in index])
-    slots = [_slots(w) for w in index]
+    features = [word_features(w) for w in index]
+    marked = np.array([not marks.isdisjoint(f) for f in features])
+    slots = [np.array([zlib.crc32(k.encode("utf-8", "replace")) & ((1 << FEATURE_BITS) - 1) for k in f]) for f in features]
     of_type = np.repeat(np.arange(len(slots)), [len(s) for s in slots])
     slots = np.concatenate(slots)
     sizes = np.array([len(d) for d in documents])
