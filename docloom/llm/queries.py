@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from . import bpe, fingerprints, html_text, pii, quality, simhash, toxicity
+from . import bpe, fingerprints, html_text, pii, quality, simhash, toxicity, webp
 from .common import table
 
 
@@ -51,6 +51,19 @@ def op7_quality(spark, sf_dir):
     )
 
 
+def op8_webp(spark, sf_dir):
+    return webp.store_texts(table(spark, sf_dir, "documents")).select(
+        "doc_id",
+        "n_bytes",
+        F.octet_length("payload").cast("long").alias("payload_bytes"),
+        F.sha2("payload", 256).alias("payload_sha256"),
+        F.crc32(F.expr("substring(payload, -64, 64)")).alias("tail_crc32"),
+        F.octet_length("media").cast("long").alias("media_bytes"),
+        F.sha2("media", 256).alias("media_sha256"),
+        "feature",
+    )
+
+
 def op9_html(spark, sf_dir):
     return html_text.extract_pages(table(spark, sf_dir, "pages")).select(
         "page_id", "url", "text", F.length("text").cast("long").alias("n_chars")
@@ -75,6 +88,7 @@ QUERIES = {
     "op4_toxicity": op4_toxicity,
     "op5_fingerprints": op5_fingerprints,
     "op7_quality": op7_quality,
+    "op8_webp": op8_webp,
     "op9_html": op9_html,
     "op10_pii": op10_pii,
 }
