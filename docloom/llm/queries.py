@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from . import bpe, fingerprints, html_text, pii, quality, simhash, toxicity, webp
+from . import bpe, fingerprints, html_text, mixing, pii, quality, sharding, simhash, toxicity, webp
 from .common import table
 
 
@@ -26,6 +26,10 @@ def op2_bpe(spark, sf_dir):
     )
 
 
+def op3_sharding(spark, sf_dir):
+    return sharding.shard_rows(table(spark, sf_dir, "documents"))
+
+
 def op4_toxicity(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     scored = toxicity.score_documents(docs, toxicity.learn(docs, table(spark, sf_dir, "labels")))
@@ -43,6 +47,11 @@ def op5_fingerprints(spark, sf_dir):
     return fingerprints.fingerprint_documents(table(spark, sf_dir, "documents"))
 
 
+def op6_mixing(spark, sf_dir):
+    mixed, name = mixing.mix_sources(table(spark, sf_dir, "documents"))
+    return mixed.select("doc_id", "source", *(F.col(name[k]).alias(k) for k in ("epoch", "tokens", "position")))
+
+
 def op7_quality(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     scored = quality.score_documents(docs, quality.learn(docs, table(spark, sf_dir, "labels")))
@@ -85,11 +94,13 @@ def op10_pii(spark, sf_dir):
 QUERIES = {
     "op1_simhash": op1_simhash,
     "op2_bpe": op2_bpe,
+    "op3_sharding": op3_sharding,
     "op4_toxicity": op4_toxicity,
     "op5_fingerprints": op5_fingerprints,
+    "op6_mixing": op6_mixing,
     "op7_quality": op7_quality,
     "op8_webp": op8_webp,
     "op9_html": op9_html,
     "op10_pii": op10_pii,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op3_sharding": sharding.ORACLE_SQL}
