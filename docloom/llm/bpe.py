@@ -224,13 +224,34 @@ def decode_column(column, path: str, pattern: str):
     return decoded(column)
 
 
-def encode_documents(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_tokens, token_ids (packed) of each row; null and empty texts have none; repeated rows stay;
-    other columns are not read; an empty table gives no rows."""
-    rows = docs.select(F.col(id_col).alias("doc_id"), encode_column(F.coalesce(F.col(text_col), F.lit("")), path, pattern).alias("token_ids"))
-    return rows.select("doc_id", (F.octet_length("token_ids") / 4).cast("long").alias("n_tokens"), "token_ids")
+def round_trip_column(column, path: str, pattern: str):
+    """struct<token_ids, decoded>: a text's packed ids and the bytes decoded from them, in one pass over the rows."""
+
+    @F.pandas_udf("struct<token_ids:binary, decoded:binary>")
+    def both(texts: pd.Series) -> pd.DataFrame:
+        t = tokenizer(path, pattern)
+        ids = t.encode(texts.tolist())
+        return pd.DataFrame({"token_ids": ids, "decoded": [t.decode(i) for i in ids]}, dtype=object)
+
+    return both(column)
+
+
+def encode_documents(
+    docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", decode: bool = False
+) -> DataFrame:
+    """doc_id, n_tokens, token_ids (packed) of each row, and with decode the bytes they decode to.
+
+    Null and empty texts have no tokens; repeated rows stay; other columns are not read; an empty table
+    gives no rows."""
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    if decode:
+        made = round_trip_column(text, path, pattern)
+    else:
+        made = F.struct(encode_column(text, path, pattern).alias("token_ids"))
+    rows = docs.select(F.col(id_col).alias("doc_id"), made.alias("made")).select("doc_id", "made.*")
+    return rows.select("doc_id", (F.octet_length("token_ids") / 4).cast("long").alias("n_tokens"), *rows.columns[1:])
 
 
 def decode_documents(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
-    """encoded with `decoded`, the bytes of the whole text."""
+    """encoded with `decoded`, the bytes that its token_ids stand for."""
     return encoded.select("*", decode_column(F.col("token_ids"), path, pattern).alias("decoded"))

@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import free_name, materialize
 
 SEED = 42
 SEGMENT_BITS = 32
@@ -194,3 +194,155 @@ def simhash_clusters(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
         docs.select(F.col(id_col).alias("doc_id"), fingerprint_column(F.col(text_col), width).alias("fp"))
     )
     return cluster_prints(prints).select("doc_id", hex_column("fp").alias("fingerprint"), "component_id")
+
+
+# Near copies at a Jaccard similarity, for which 64 bits are too few: at 0.8 over five-word shingles two
+# fingerprints differ in about 9 bits.  The same index of deletion variants is laid over min-wise hashes:
+# SEGMENTS segments of SEGMENT_HASHES hashes, each once for every hash left out.
+
+SEGMENTS, SEGMENT_HASHES = 6, 6
+_SIZE = SEGMENTS * SEGMENT_HASHES
+_RNG = np.random.default_rng(20)
+_FACTORS = _RNG.integers(0, 2**63, _SIZE, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_SHIFTS = _RNG.integers(0, 2**63, _SIZE, dtype=np.uint64)
+#: Losers of a deduplication are broadcast if there are no more than this (16 bytes each).
+BROADCAST_ROWS = 500_000
+
+
+def _mix(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def variant_keys(hashes: np.ndarray) -> np.ndarray:
+    """A key for each min-wise hash left out of its segment; none for no shingles.
+
+    At similarity s two texts share a key with the chance 1 - (1 - s**6 - 6 * (1 - s) * s**5) ** 6: 0.998
+    at 0.8, more above."""
+    if not len(hashes):
+        return np.empty(0, np.int64)
+    least = np.full(_SIZE, np.uint64(2**64 - 1))
+    for k in range(0, len(hashes), 4096):
+        part = hashes[k : k + 4096]
+        np.minimum(least, (part[:, None] * _FACTORS + _SHIFTS).min(0), out=least)
+    mixed = _mix(least + np.arange(_SIZE, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)).reshape(SEGMENTS, SEGMENT_HASHES)
+    without = mixed.sum(1, keepdims=True, dtype=np.uint64) - mixed
+    return _mix(without + np.arange(_SIZE, dtype=np.uint64).reshape(mixed.shape)).ravel().view(np.int64)
+
+
+def _sketch_column(column, width: int):
+    @F.pandas_udf("struct<fp:long, keys:array<long>>")
+    def sketched(texts: pd.Series) -> pd.DataFrame:
+        prints, keys = [], []
+        for t in texts:
+            h = shingle_hashes(t, width)
+            prints.append(simhash64(h))
+            keys.append(variant_keys(np.unique(h)))
+        return pd.DataFrame({"fp": np.array(prints, np.uint64).view(np.int64), "keys": keys})
+
+    return sketched(column)
+
+
+def _set_column(column, width: int):
+    """Distinct shingles of a text, as 32-bit hashes."""
+
+    @F.pandas_udf("array<int>")
+    def sets(texts: pd.Series) -> pd.Series:
+        return pd.Series([np.unique((shingle_hashes(t, width) >> np.uint64(32)).astype(np.uint32).view(np.int32)) for t in texts], dtype=object)
+
+    return sets(column)
+
+
+def _candidates(index: DataFrame) -> DataFrame:
+    """Pairs (u, v), u < v, of nodes that share a key of index (key, node).
+
+    Members of a key with more than BUCKET nodes are paired with two of them only, drawn anew for each key:
+    near copies share a dozen keys or more, so each meets many others of its group."""
+    drawn = F.col("node").bitwiseXOR(F.xxhash64("key"))
+    keys = materialize(
+        index.groupBy("key").agg(F.count("*").alias("n"), F.min(drawn).alias("lo"), F.max(drawn).alias("hi")).where("n > 1")
+    ).select("key", "n", *(F.col(c).bitwiseXOR(F.xxhash64("key")).alias(c) for c in ("lo", "hi")))
+    pair = lambda a, b: F.struct(F.least(a, b).alias("u"), F.greatest(a, b).alias("v"))
+    two = keys.where("n = 2").select(pair("lo", "hi").alias("p")).select("p.*")
+    crowded = (
+        index.join(keys.where(f"n > {BUCKET}").select("key", "lo", "hi"), "key")
+        .select(F.explode(F.array(pair("lo", "node"), pair("hi", "node"))).alias("p"))
+        .select("p.*")
+    )
+    few = (
+        index.join(keys.where(f"n BETWEEN 3 AND {BUCKET}").select("key"), "key")
+        .groupBy("key")
+        .agg(F.array_sort(F.collect_set("node")).alias("m"))
+        .select(F.explode(F.expr("flatten(transform(m, x -> transform(filter(m, y -> y > x), y -> named_struct('u', x, 'v', y))))")).alias("p"))
+        .select("p.u", "p.v")
+    )
+    return two.unionByName(crowded).unionByName(few).where("u < v").distinct()
+
+
+def near_copy_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: float = 0.8) -> DataFrame:
+    """doc_id, node (hash of the text), root for each row of docs: rows of one root are near copies.
+
+    Texts are linked if the Jaccard similarity of their sets of shingles is at least `similarity`; links are
+    proposed by SimHash fingerprints and by variants of min-wise hashes, and verified on the whole sets.
+    Equal texts are linked, null texts are empty ones."""
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    rows = materialize(
+        docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text).alias("node"), _sketch_column(text, width).alias("s")).select("doc_id", "node", "s.fp", "s.keys")
+    )
+    texts = materialize(rows.groupBy("node").agg(F.min("fp").alias("fp"), F.first("keys").alias("keys")))
+    by_keys = _candidates(texts.select(F.explode("keys").alias("key"), "node"))
+    prints = materialize(texts.groupBy("fp").agg(F.min("node").alias("first"), F.count("*").alias("n")))
+    same_print = texts.join(prints.where("n > 1"), "fp").select(F.col("first").alias("u"), F.col("node").alias("v")).where("u <> v")
+    first_of = lambda c: prints.select(F.col("fp").alias(c), F.col("first").alias(f"{c}_node"))
+    by_print = near_links(prints.select("fp")).join(first_of("u"), "u").join(first_of("v"), "v").select(F.col("u_node").alias("u"), F.col("v_node").alias("v"))
+    pairs = materialize(by_keys.unionByName(same_print.unionByName(by_print).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))).distinct())
+    concerned = pairs.select(F.col("u").alias("node")).union(pairs.select("v")).distinct()
+    one_row = concerned.join(rows.groupBy("node").agg(F.min("doc_id").alias("first_id")), "node")
+    full = docs.select(F.col(id_col).alias("doc_id"), text.alias("text")).withColumn("node", F.xxhash64("text"))
+    hint = F.broadcast if concerned.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else (lambda df: df)
+    sets = materialize(
+        full.join(hint(one_row), "node")
+        .where(F.col("doc_id").eqNullSafe(F.col("first_id")))
+        .select("node", _set_column(F.col("text"), width).alias("shingles"))
+        .dropDuplicates(["node"])
+    )
+    common = F.size(F.array_intersect("a", "b"))
+    links = (
+        pairs.join(sets.select(F.col("node").alias("u"), F.col("shingles").alias("a")), "u")
+        .join(sets.select(F.col("node").alias("v"), F.col("shingles").alias("b")), "v")
+        .where(common >= similarity * (F.size("a") + F.size("b") - common))
+        .select("u", "v")
+    )
+    roots = components(links)
+    return rows.select("doc_id", "node").join(roots, "node", "left").select(
+        "doc_id", "node", F.coalesce("root", "node").alias("root")
+    )
+
+
+def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: float = 0.8) -> DataFrame:
+    """docs with one row of each group of near copies: that of the least id (nulls last), then text hash.
+
+    Rows alike in id and text count as one; columns are handed on as they are; an empty table stays empty."""
+    classes = materialize(near_copy_classes(docs, id_col, text_col, width, similarity))
+    own = classes.groupBy("root", "doc_id", "node").agg(F.count("*").alias("n"))
+    rank = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id"), F.col("node"))
+    best = classes.groupBy("root").agg(F.min(rank).alias("best")).select("root", "best.*")
+    loses = ~(F.col("c.doc_id").eqNullSafe(F.col("b.doc_id")) & (F.col("c.node") == F.col("b.node")))
+    losers = materialize(own.alias("c").join(best.alias("b"), "root").where(loses).select("c.doc_id", "c.node"))
+    repeated = materialize(own.where("n > 1").select("doc_id", "node"))
+    n, m = free_name(docs, "near_node"), free_name(docs, "near_id")
+    keyed = docs.withColumns({n: F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))), m: F.col(id_col)})
+
+    def named(df):
+        few = df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+        df = df.select(F.col("doc_id").alias(m + "_r"), F.col("node").alias(n + "_r"))
+        return F.broadcast(df) if few else df
+
+    alike = F.col(m).eqNullSafe(F.col(m + "_r")) & (F.col(n) == F.col(n + "_r"))
+    kept = keyed.join(named(losers), alike, "left_anti")
+    if not repeated.limit(1).count():
+        return kept.drop(n, m)
+    again = named(repeated)
+    once = kept.join(again, alike, "left_anti")
+    return once.unionByName(kept.join(again, alike, "left_semi").dropDuplicates([m, n])).drop(n, m)

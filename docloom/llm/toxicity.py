@@ -20,9 +20,11 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import free_name
+
 POSITIVES, NEGATIVES = 800, 1600
 FEATURE_BITS = 18
 PREFIXES = (3, 4, 5, 6)
@@ -281,12 +283,8 @@ def sample_labels(docs: DataFrame, labels: DataFrame, label: str, folds: int, he
     return sorted(((r["text"], r["label"]) for r in rows))
 
 
-def score_documents(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """keep (default: id_col) with toxicity double, toxic_tokens int and toxic_spans (start, end in code points, chance).
-
-    Null and empty texts get the score of a document without toxic tokens; whole texts are read; repeated
-    rows and ids are scored each by itself."""
-    spark = docs.sparkSession
+def tag_column(spark: SparkSession, model: Model, column):
+    """struct<toxicity, toxic_tokens, toxic_spans (start, end in code points, chance)> of a text column."""
     sent = spark.sparkContext.broadcast(model)
     kind = "struct<toxicity:double, toxic_tokens:int, toxic_spans:array<struct<start:int, end:int, chance:double>>>"
 
@@ -323,8 +321,23 @@ def score_documents(docs: DataFrame, model: Model, id_col: str = "doc_id", text_
         flush()
         return pd.DataFrame(out, columns=["toxicity", "toxic_tokens", "toxic_spans"])
 
-    columns = [F.col(c) for c in (keep or [id_col])]
-    return docs.select(*columns, tagged(F.col(text_col)).alias("_t")).select(*columns, "_t.*")
+    return tagged(column)
+
+
+def score_documents(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, toxicity, toxic_tokens and toxic_spans of each row.
+
+    Null and empty texts get the score of a document without toxic tokens; whole texts are read; repeated
+    rows and ids are scored each by itself; an empty table gives no rows; other columns are not read."""
+    tagged = tag_column(docs.sparkSession, model, F.col(text_col))
+    return docs.select(F.col(id_col).alias("doc_id"), tagged.alias("t")).select("doc_id", "t.*")
+
+
+def reject_toxic(docs: DataFrame, model: Model, text_col: str = "text", at: float = 0.7) -> DataFrame:
+    """docs without the rows that score `at` or more; columns are handed on as they are."""
+    name = free_name(docs, "toxic")
+    tagged = docs.withColumn(name, tag_column(docs.sparkSession, model, F.col(text_col)))
+    return tagged.where(F.col(name)["toxicity"] < at).drop(name)
 
 
 def learn(docs: DataFrame, labels: DataFrame, folds: int = 3, held_out: int = 1, positives: int = POSITIVES, negatives: int = NEGATIVES) -> Model:

@@ -54,4 +54,6 @@ def test_frames(spark):
     got = bpe.decode_documents(bpe.encode_documents(df, PATH, P.PATTERN), PATH, P.PATTERN).collect()
     assert sorted(bytes(r.decoded).decode() for r in got) == sorted((t or "") for _, t, _ in rows)
     assert {r.n_tokens for r in got if r.doc_id in (1, 2)} == {0}
+    at_once = bpe.encode_documents(df, PATH, P.PATTERN, decode=True).collect()
+    assert sorted(map(str, at_once)) == sorted(map(str, got))
     assert bpe.encode_documents(df.limit(0), PATH, P.PATTERN).count() == 0
