@@ -1,4 +1,642 @@
-"""Named queries over the test tables, each with the SQL that gives the same rows where SQL can."""
+"""Named queries over the test tables, each with the SQL that gives the same rows where SQL can.
+
+The tables stand in for a folder of documents: source is the root, doc-<id>.md the path, lang a label.
+Floats are rounded to six digits, ties broken by id.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
+
+from docloom.functions import ids
+from docloom.functions import text as X
+from docloom.operators import assets, cards, chunking, context, evaluate, markdown, search, state, structure, sync
+from docloom.sources import decoders
+from docloom.streaming import changes
 
 QUERIES: dict = {}
-ORACLES: dict = {}
+ORACLES: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def register(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return register
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def files(spark, sf_dir) -> DataFrame:
+    """documents as files: root, path, and the columns of documents."""
+    path = F.concat(F.lit("doc-"), F.col("doc_id").cast("string"), F.lit(".md"))
+    return table(spark, sf_dir, "documents").select(F.col("source").alias("root"), path.alias("path"), "doc_id", "text", "lang")
+
+
+FILES = "SELECT source AS root, 'doc-' || CAST(doc_id AS VARCHAR) || '.md' AS path, doc_id, text, lang FROM documents"
+
+
+@query("SELECT doc_id, source, lang, n_chars FROM documents WHERE source = 'src3' AND lang IN ('en', 'de')")
+def scan_filter_scope(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").withColumnsRenamed({"source": "root", "lang": "path"})
+    kept = docs.where(search.in_scope("src3", ["en", "de", "en"]))
+    return kept.select("doc_id", F.col("root").alias("source"), F.col("path").alias("lang"), "n_chars")
+
+
+@query(f"""
+SELECT doc_id, sha256(text) AS content_hash, md5(root || chr(10) || path) AS file_id, md5(root || chr(10) || path) || ':1' AS chunk_id,
+       substr(md5(root), 1, 8) || '_' || substr(md5(path), 1, 8) AS cache_key FROM ({FILES})""")
+def content_hash_ids(spark, sf_dir):
+    file = ids.file_id(F.col("root"), F.col("path"))
+    return files(spark, sf_dir).select(
+        "doc_id",
+        ids.content_hash(F.col("text")).alias("content_hash"),
+        file.alias("file_id"),
+        ids.chunk_id(file, F.lit(1)).alias("chunk_id"),
+        ids.short_key(F.col("root"), F.col("path")).alias("cache_key"),
+    )
+
+
+@query("""
+SELECT min(doc_id) AS doc_id, arg_min(source, doc_id) AS source, arg_min(lang, doc_id) AS lang, count(*) AS copies
+FROM documents GROUP BY sha256(text)""")
+def dedup_first_wins(spark, sf_dir):
+    return (
+        table(spark, sf_dir, "documents")
+        .groupBy(ids.content_hash(F.col("text")).alias("h"))
+        .agg(F.min("doc_id").alias("doc_id"), F.min_by("source", "doc_id").alias("source"), F.min_by("lang", "doc_id").alias("lang"), F.count("*").alias("copies"))
+        .drop("h")
+    )
+
+
+_TAGS = ("script", "style", "noscript", "nav", "footer", "header", "aside")
+_STRIP = "|".join(rf"<{t}\b[^>]*>.*?</{t}\s*>" for t in _TAGS)
+
+
+@query(f"""
+SELECT page_id, length(html) AS chars, length(t) AS kept, md5(t) AS hash
+FROM (SELECT page_id, html, regexp_replace(html, '{_STRIP}', '', 'gis') AS t FROM pages)""")
+def html_boilerplate_strip(spark, sf_dir):
+    stripped = F.regexp_replace("html", "(?is)" + _STRIP, "")
+    return table(spark, sf_dir, "pages").select("page_id", F.length("html").cast("long").alias("chars"), F.length(stripped).cast("long").alias("kept"), F.md5(stripped).alias("hash"))
+
+
+@query()
+def html_to_blocks(spark, sf_dir):
+    pages = table(spark, sf_dir, "pages").select("page_id", decoders.markdown_of(F.lit(".html"), F.encode("html", "UTF-8")).alias("d"))
+    return markdown.block_rows(pages.select("page_id", F.col("d.text").alias("text"))).select("page_id", "pos", "type", "level", "text", "rows")
+
+
+def _region_table(spark, sf_dir) -> DataFrame:
+    """A pipe table of the nations of each region: r_regionkey, r_name, text."""
+    nation = table(spark, sf_dir, "nation")
+    line = F.format_string("| %d | %s |", "n_nationkey", "n_name")
+    lines = F.transform(F.array_sort(F.collect_list(F.struct("n_nationkey", line.alias("line")))), lambda s: s["line"])
+    text = F.concat(F.lit("| key | name |\n|---|:--|\n"), F.array_join(lines, "\n"))
+    return nation.join(table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey")).groupBy("r_regionkey", "r_name").agg(text.alias("text"))
+
+
+@query("""
+SELECT CAST(n_nationkey AS BIGINT) AS n_nationkey, pos, type, level, text, cells FROM (
+  SELECT n_nationkey, 0 AS pos, 'heading' AS type, 2 AS level, n_name AS text, NULL AS cells FROM nation
+  UNION ALL SELECT n_nationkey, 1, 'text', NULL, 'Part of ' || r_name || '.', NULL FROM nation JOIN region ON n_regionkey = r_regionkey
+  UNION ALL SELECT n_nationkey, 2, 'table', NULL, NULL, 'key,name;' || n_nationkey || ',' || n_name FROM nation)""")
+def markdown_blocks(spark, sf_dir):
+    nation = table(spark, sf_dir, "nation").join(table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    text = F.format_string("## %s\r\n<!-- note -->\nPart of %s.  \n\n\n\n| key | name |\n|---|---|\n| %d | %s |", "n_name", "r_name", "n_nationkey", "n_name")
+    rows = markdown.block_rows(nation.select(F.col("n_nationkey").cast("long").alias("n_nationkey"), text.alias("text")))
+    cells = F.array_join(F.transform("rows", lambda r: F.array_join(r, ",")), ";")
+    return rows.select("n_nationkey", "pos", "type", "level", "text", cells.alias("cells"))
+
+
+@query("""
+SELECT r_regionkey, '| key | name |' || chr(10) || '| --- | --- |' || chr(10)
+       || string_agg('| ' || n_nationkey || ' | ' || n_name || ' |', chr(10) ORDER BY n_nationkey) AS text, count(*) AS body_rows
+FROM nation JOIN region ON n_regionkey = r_regionkey GROUP BY r_regionkey""")
+def table_parse_render(spark, sf_dir):
+    rows = _region_table(spark, sf_dir).withColumn("rows", markdown.table_cells(F.col("text")))
+    return rows.select("r_regionkey", markdown.table_markdown(F.col("rows")).alias("text"), (F.size("rows") - 1).cast("long").alias("body_rows"))
+
+
+@query("""
+SELECT md5('regions' || chr(10) || r_name || '.md') || '_x1_t0' AS asset_id,
+       '[Table: ' || md5('regions' || chr(10) || r_name || '.md') || '_x1_t0]' || chr(10) || 'Caption: Table with columns: key, name. Rows: ' || count(*) || '.' || chr(10)
+       || 'Columns: key, name' || chr(10) || 'Row entities: ' || string_agg(CAST(n_nationkey AS VARCHAR), ', ' ORDER BY n_nationkey) || chr(10)
+       || 'Total rows: ' || count(*) AS stub, CAST(count(*) AS INTEGER) AS row_count
+FROM nation JOIN region ON n_regionkey = r_regionkey GROUP BY r_name""")
+def table_stub(spark, sf_dir):
+    docs = _region_table(spark, sf_dir).select(
+        F.lit("regions").alias("root"), F.concat("r_name", F.lit(".md")).alias("path"), F.concat(F.lit("# "), "r_name", F.lit("\n\n"), "text").alias("text")
+    )
+    stubs = chunking.chunk_frame(docs).where("chunk_type = 'table_stub'")
+    return stubs.select("asset_id", F.expr("substring(text, length(context_header) + 3)").alias("stub"), "row_count")
+
+
+@query()
+def page_break_merge(spark, sf_dir):
+    """The table of each region, broken by a page number before each nation."""
+    broken = F.regexp_replace("text", r"\n(\| \d)", "\n\n7\n\n| key | name |\n$1")
+    blocks = markdown.blocks_of(broken)
+    return _region_table(spark, sf_dir).select("r_regionkey", structure.on_blocks(blocks, structure.merge_page_breaks).alias("blocks")).select(
+        "r_regionkey", F.size("blocks").alias("blocks"), F.size(F.col("blocks")[0]["rows"]).alias("rows")
+    )
+
+
+@query("""
+SELECT r_regionkey, 1 AS blocks, 'Table ' || r_regionkey || ': nations of ' || r_name AS caption, CAST(r_regionkey AS VARCHAR) AS table_number FROM region""")
+def caption_attach(spark, sf_dir):
+    captioned = F.format_string("%s\n\nTable %d: nations of %s", "text", "r_regionkey", "r_name")
+    blocks = structure.on_blocks(markdown.blocks_of(captioned), structure.attach_captions)
+    rows = _region_table(spark, sf_dir).select("r_regionkey", blocks.alias("b"))
+    return rows.select("r_regionkey", F.size("b").alias("blocks"), F.col("b")[0]["caption"].alias("caption"), F.col("b")[0]["table_number"].alias("table_number"))
+
+
+def _numbered_chunks(spark, sf_dir) -> DataFrame:
+    """One document: regions and nations as numbered headings, a line of text under each."""
+    region, nation = table(spark, sf_dir, "region"), table(spark, sf_dir, "nation")
+    tops = region.select(F.struct(F.col("r_regionkey").alias("a"), F.lit(-1).alias("b"), F.format_string("# %d %s\n\nRegion.", F.col("r_regionkey") + 1, "r_name").alias("t")).alias("s"))
+    subs = nation.select(F.struct(F.col("n_regionkey").alias("a"), F.col("n_nationkey").alias("b"), F.format_string("## %d.%d %s\n\nNation.", F.col("n_regionkey") + 1, "n_nationkey", "n_name").alias("t")).alias("s"))
+    whole = tops.union(subs).agg(F.array_join(F.transform(F.array_sort(F.collect_list("s")), lambda s: s["t"]), "\n\n").alias("text"))
+    return chunking.chunk_frame(whole.select(F.lit("atlas").alias("root"), F.lit("atlas.md").alias("path"), "text"))
+
+
+_SECTIONS = """
+SELECT 's' || (r_regionkey + 1) AS section_id, NULL AS parent_id, 1 AS depth, r_name AS title, CAST(r_regionkey + 1 AS VARCHAR) AS number, r_regionkey AS a, -1 AS b FROM region
+UNION ALL
+SELECT 's' || (n_regionkey + 1) || '.' || n_nationkey, 's' || (n_regionkey + 1), 2, n_name, (n_regionkey + 1) || '.' || n_nationkey, n_regionkey, n_nationkey FROM nation"""
+
+
+@query(f"SELECT section_id, parent_id, depth, title, number, CAST(row_number() OVER (ORDER BY a, b) AS INTEGER) AS ord FROM ({_SECTIONS})")
+def section_tree_ids(spark, sf_dir):
+    return structure.outline(_numbered_chunks(spark, sf_dir)).select("section_id", "parent_id", "depth", "title", "number", "ord")
+
+
+@query(f"""
+SELECT 'atlas.md' AS path, string_agg(repeat('  ', depth - 1) || '- ' || number || ' ' || title, chr(10) ORDER BY a, b) AS outline FROM ({_SECTIONS})""")
+def outline_flatten(spark, sf_dir):
+    return structure.render_outline(structure.outline(_numbered_chunks(spark, sf_dir))).select("path", "outline")
+
+
+#: Documents hold no empty lines, so each is one paragraph: whole up to 1800 characters, else cut.
+_PIECES = """
+SELECT doc_id, source, lang, k, CASE WHEN length(t) <= 1800 THEN t ELSE substr(t, 1800 * k + 1, 1800) END AS piece
+FROM (SELECT doc_id, source, lang, trim(text, ' ') AS t FROM documents), range(0, 100000) AS r(k)
+WHERE length(t) > 0 AND 1800 * k < length(t)"""
+
+
+def _pieces(spark, sf_dir) -> DataFrame:
+    return files(spark, sf_dir).select("root", "path", "doc_id", "lang", F.posexplode(chunking.split_column(F.col("text"))).alias("k", "piece"))
+
+
+@query(f"SELECT doc_id, CAST(k AS INTEGER) AS k, piece FROM ({_PIECES})")
+def split_text_chunks(spark, sf_dir):
+    return _pieces(spark, sf_dir).select("doc_id", "k", "piece")
+
+
+_CHUNKS = f"""
+SELECT doc_id, md5(source || chr(10) || 'doc-' || doc_id || '.md') || ':' || (k + 1) AS chunk_id, source AS root, 'doc-' || doc_id || '.md' AS path,
+       'doc-' || doc_id AS title, CAST(k + 1 AS INTEGER) AS seq, lang AS section_heading,
+       '[Document: doc-' || doc_id || '.md | Section: ' || lang || ']' || chr(10) || chr(10) || piece AS text FROM ({_PIECES})"""
+
+
+def _chunks(spark, sf_dir) -> DataFrame:
+    """Chunk rows of the documents, without leaving the JVM."""
+    seq = (F.col("k") + 1).cast("int")
+    return _pieces(spark, sf_dir).select(
+        "doc_id",
+        ids.chunk_id(ids.file_id(F.col("root"), F.col("path")), seq).alias("chunk_id"),
+        "root",
+        "path",
+        X.stem(F.col("path")).alias("title"),
+        seq.alias("seq"),
+        F.col("lang").alias("section_heading"),
+        F.format_string("[Document: %s | Section: %s]\n\n%s", "path", "lang", "piece").alias("text"),
+    )
+
+
+@query(f"SELECT *, CAST(length(text) AS INTEGER) AS char_count FROM ({_CHUNKS})")
+def chunk_records(spark, sf_dir):
+    return _chunks(spark, sf_dir).withColumn("char_count", F.length("text"))
+
+
+_POSTINGS = r"""
+SELECT term, doc_id, count(*) AS tf, len AS length FROM (
+  SELECT doc_id, len(w) AS len, unnest(w) AS term FROM (SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM documents))
+GROUP BY term, doc_id, len"""
+
+
+@query(f"SELECT term, doc_id, tf, CAST(length AS INTEGER) AS length FROM ({_POSTINGS})")
+def postings(spark, sf_dir):
+    return search.postings(table(spark, sf_dir, "documents"), "doc_id", "text")
+
+
+@query(f"SELECT term, count(*) AS df FROM ({_POSTINGS}) GROUP BY term")
+def doc_frequency(spark, sf_dir):
+    return search.document_frequency(search.postings(table(spark, sf_dir, "documents"), "doc_id", "text"), "doc_id")
+
+
+_ASKED = [(1, "the thing that is of"), (2, "der die und lich"), (3, "que para los ment"), (4, "une dans les eau"), (5, "idiot clown moron stupid loser")]
+_ASKED_SQL = "(VALUES " + ", ".join(f"({i}, '{q}')" for i, q in _ASKED) + ") AS q(query_id, query)"
+_BM25 = rf"""
+SELECT query_id, doc_id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * length / 256.0))), 6) AS score
+FROM ({_POSTINGS}) JOIN (SELECT term, count(*) AS df FROM ({_POSTINGS}) GROUP BY term) USING (term)
+JOIN (SELECT DISTINCT query_id, unnest(regexp_extract_all(lower(query), '[\p{{L}}\p{{N}}]+')) AS term FROM {_ASKED_SQL}) USING (term),
+(SELECT count(*) AS n FROM documents) GROUP BY query_id, doc_id"""
+
+
+def _ranked_sql(k: int) -> str:
+    return f"""
+SELECT * FROM (SELECT query_id, doc_id, score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank FROM ({_BM25}))
+WHERE rank <= {k}"""
+
+
+def _bm25(spark, sf_dir, k: int) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    asked = spark.createDataFrame(_ASKED, "query_id int, query string")
+    scored = search.bm25(search.postings(docs, "doc_id", "text"), asked, docs.count(), "doc_id")
+    return search.top_per_query(scored, k, "doc_id")
+
+
+@query(_ranked_sql(10))
+def bm25_topk(spark, sf_dir):
+    return _bm25(spark, sf_dir, 10)
+
+
+_FIRST = "(SELECT embedding AS q FROM embeddings ORDER BY vec_id LIMIT 1)"
+_COSINE = "round(list_cosine_similarity(CAST(embedding AS DOUBLE[]), CAST(q AS DOUBLE[])), 6)"
+
+
+def _first_vector(spark, sf_dir) -> list[float]:
+    return table(spark, sf_dir, "embeddings").orderBy("vec_id").limit(1).first()["embedding"]
+
+
+@query(f"SELECT vec_id, label, {_COSINE} AS semantic_score FROM embeddings, {_FIRST} ORDER BY 3 DESC, 1 LIMIT 10")
+def dense_topk(spark, sf_dir):
+    points = table(spark, sf_dir, "embeddings")
+    return search.dense_topk(points, _first_vector(spark, sf_dir), 10, "vec_id", "embedding").drop("embedding")
+
+
+@query(f"SELECT vec_id, label, {_COSINE} AS semantic_score FROM embeddings, {_FIRST} WHERE label IN (1, 3) ORDER BY 3 DESC, 1 LIMIT 10")
+def dense_topk_filtered(spark, sf_dir):
+    points = table(spark, sf_dir, "embeddings")
+    return search.dense_topk(points, _first_vector(spark, sf_dir), 10, "vec_id", "embedding", F.col("label").isin(1, 3)).drop("embedding")
+
+
+#: One query for each label: its vector with the least id.
+_LABEL_QUERIES = "(SELECT label AS query_id, arg_min(embedding, vec_id) AS q FROM embeddings GROUP BY label)"
+
+
+def _dense_sql(k: int) -> str:
+    return f"""
+SELECT query_id, vec_id, semantic_score, CAST(rank AS INTEGER) AS rank FROM (
+  SELECT query_id, vec_id, {_COSINE} AS semantic_score, row_number() OVER (PARTITION BY query_id ORDER BY {_COSINE} DESC, vec_id) AS rank
+  FROM embeddings, {_LABEL_QUERIES}) WHERE rank <= {k}"""
+
+
+def _dense(spark, sf_dir, k: int) -> DataFrame:
+    points = table(spark, sf_dir, "embeddings")
+    asked = points.groupBy(F.col("label").alias("query_id")).agg(F.min_by("embedding", "vec_id").alias("query_vector"))
+    return search.dense_topk_batch(points, asked, k, "vec_id", "embedding")
+
+
+@query(_dense_sql(5))
+def dense_topk_per_group(spark, sf_dir):
+    return _dense(spark, sf_dir, 5)
+
+
+_REFERENCE = (
+    "(coalesce(regexp_matches(lang, '(?i)^\\s*(references|bibliography|works cited|literature cited|tài liệu tham khảo)\\s*$'), false)"
+    " OR (length(text) >= 200 AND len(regexp_extract_all(text, '\\[\\d{1,3}(?:\\s*[,–-]\\s*\\d{1,3})*\\]|\\(\\w+ et al\\.?,? \\d{4}\\)')) / (length(text) / 500.0) >= 2.0))"
+)
+
+
+@query(f"""
+WITH dense AS ({_dense_sql(30)}), sparse AS ({_ranked_sql(30)}),
+fused AS (SELECT query_id, id, round(sum(1.0 / (1 + rank)), 6) AS rrf FROM (
+  SELECT query_id, vec_id AS id, rank FROM dense UNION ALL SELECT query_id, doc_id, rank FROM sparse) GROUP BY query_id, id),
+kept AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rrf DESC, id) AS fr FROM fused) WHERE fr <= 15),
+scored AS (SELECT k.query_id, k.id, fr, round(rrf * CASE WHEN r.is_ref THEN 0.4 ELSE 1.0 END, 6) AS score, coalesce(d.semantic_score, 0.0) AS semantic_score
+  FROM kept k LEFT JOIN dense d ON d.query_id = k.query_id AND d.vec_id = k.id LEFT JOIN (SELECT doc_id, {_REFERENCE} AS is_ref FROM documents) r ON r.doc_id = k.id)
+SELECT query_id, id, score, semantic_score, CAST(rank AS INTEGER) AS rank FROM (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, fr) AS rank FROM scored) WHERE rank <= 5""")
+def hybrid_rrf(spark, sf_dir):
+    _, prefetch = search.fetch_sizes(5)
+    dense = _dense(spark, sf_dir, prefetch).withColumnRenamed("vec_id", "id")
+    sparse = _bm25(spark, sf_dir, prefetch).withColumnRenamed("doc_id", "id")
+    told = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.col("lang").alias("section_heading"), "text")
+    return search.hybrid(dense, sparse, told, 5)
+
+
+@query(f"SELECT doc_id, {_REFERENCE} AS is_reference FROM documents")
+def reference_penalty(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", X.reference_like(F.col("lang"), F.col("text")).alias("is_reference"))
+
+
+@query(r"""
+SELECT page_id, url FROM (SELECT page_id, url, split_part(regexp_replace(url, '^https?://[^/]*/', ''), '/', 1) AS top FROM pages) WHERE top IN ('en', 'fr')""")
+def section_subtree_scan(spark, sf_dir):
+    """Pages below the folders en and fr of their site: each folder of a URL is an ancestor."""
+    parts = F.split(F.regexp_replace("url", r"^https?://[^/]*/", ""), "/")
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", F.slice(parts, 1, 1).alias("section_ancestors"))
+    return pages.where(F.arrays_overlap("section_ancestors", F.array(F.lit("en"), F.lit("fr")))).select("page_id", "url")
+
+
+@query("""
+SELECT 'Table ' || r_regionkey || ': nations of ' || r_name AS caption, CAST(r_regionkey AS VARCHAR) AS table_number, r_name || '.md' AS path
+FROM region WHERE r_regionkey IN (1, 3)""")
+def table_number_scan(spark, sf_dir):
+    docs = _region_table(spark, sf_dir).select(
+        F.lit("regions").alias("root"), F.concat("r_name", F.lit(".md")).alias("path"), F.format_string("%s\n\nTable %d: nations of %s", "text", "r_regionkey", "r_name").alias("text")
+    )
+    asked = spark.range(1).select(X.table_references(F.lit("What do table 3 and Table 1. say?")).alias("n")).first()["n"]
+    return search.table_scan(chunking.chunk_frame(docs), asked, "regions").select("caption", "table_number", "path")
+
+
+@query(r"""
+SELECT conv_id, turn, regexp_matches(text, '(?i)\b(section|chapter|part|mục|chương|phần)\b') AS keyword, regexp_matches(text, '\d+\.\d+') AS dotted,
+  contains(' ' || trim(regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g')) || ' ', 'doc 1') AS names_doc
+FROM conversations""")
+def section_query_gate(spark, sf_dir):
+    asked = table(spark, sf_dir, "conversations")
+    return asked.select(
+        "conv_id",
+        "turn",
+        F.col("text").rlike(r"(?iu)\b(section|chapter|part|mục|chương|phần)\b").alias("keyword"),
+        F.col("text").rlike(r"\d+\.\d+").alias("dotted"),
+        X.mentions_document(F.col("text"), F.lit("doc-1.md")).alias("names_doc"),
+    )
+
+
+@query(f"""
+WITH c AS (SELECT *, row_number() OVER (PARTITION BY path ORDER BY seq, chunk_id) AS p FROM ({_CHUNKS}) WHERE root = 'src3'),
+n AS (SELECT count(DISTINCT path) AS n FROM c)
+SELECT chunk_id, path, seq FROM c, n WHERE p <= greatest(4, floor((CASE WHEN n > 3 THEN 24 ELSE 24 END) / n)) ORDER BY path, seq, chunk_id LIMIT 24""")
+def budgeted_union(spark, sf_dir):
+    rows = _chunks(spark, sf_dir).where(search.in_scope("src3")).select("chunk_id", "path", "seq")
+    return context.budgeted(rows)
+
+
+def _hit_chunks(spark, sf_dir) -> DataFrame:
+    """First chunks of the documents that answer the last of the asked queries, by rank."""
+    hits = _bm25(spark, sf_dir, 5).where("query_id = 5").select("doc_id", "rank", "score")
+    return hits.join(_chunks(spark, sf_dir).where("seq = 1"), "doc_id")
+
+
+_HITS = f"SELECT h.rank, h.score, c.* FROM ({_ranked_sql(5)}) h JOIN ({_CHUNKS}) c ON c.doc_id = h.doc_id AND c.seq = 1 WHERE h.query_id = 5"
+
+
+@query(f"""
+WITH hits AS ({_HITS}), beside AS (
+  SELECT * FROM (SELECT h.rank, c.chunk_id, row_number() OVER (PARTITION BY h.rank ORDER BY c.seq, c.chunk_id) AS near
+    FROM hits h JOIN ({_CHUNKS}) c ON c.root = h.root AND c.path = h.path AND c.section_heading = h.section_heading
+    WHERE c.chunk_id NOT IN (SELECT chunk_id FROM hits)) WHERE near <= 4),
+both_ AS (SELECT rank, chunk_id, 0 AS near FROM hits UNION ALL SELECT rank, chunk_id, near FROM beside)
+SELECT CAST(row_number() OVER (ORDER BY rank, near) AS INTEGER) AS ord, chunk_id, rank, CAST(near AS INTEGER) AS near FROM both_ ORDER BY rank, near LIMIT 16""")
+def small_to_big(spark, sf_dir):
+    hits = _hit_chunks(spark, sf_dir).withColumnRenamed("section_heading", "section_id")
+    return context.expand(hits, _chunks(spark, sf_dir).withColumnRenamed("section_heading", "section_id"))
+
+
+@query("""
+SELECT path, row_count, text LIKE '%| 24 | %' AS has_last, length(text) AS chars FROM (
+  SELECT r_name || '.md' AS path, CAST(count(*) AS INTEGER) AS row_count,
+    '[Document: ' || r_name || '.md | Section: Overview]' || chr(10) || chr(10) || '[Table: ' || md5('regions' || chr(10) || r_name || '.md') || '_s0_t0]' || chr(10)
+    || 'Caption: Table with columns: key, name. Rows: ' || count(*) || '.' || chr(10) || 'Columns: key, name' || chr(10)
+    || 'Row entities: ' || string_agg(CAST(n_nationkey AS VARCHAR), ', ' ORDER BY n_nationkey) || chr(10) || 'Total rows: ' || count(*) || chr(10) || chr(10)
+    || '| key | name |' || chr(10) || '| --- | --- |' || chr(10) || string_agg('| ' || n_nationkey || ' | ' || n_name || ' |', chr(10) ORDER BY n_nationkey) AS text
+  FROM nation JOIN region ON n_regionkey = r_regionkey GROUP BY r_name)""")
+def hydrate_tables(spark, sf_dir):
+    docs = _region_table(spark, sf_dir).select(F.lit("regions").alias("root"), F.concat("r_name", F.lit(".md")).alias("path"), "text")
+    chunks = chunking.chunk_frame(docs)
+    full = context.hydrate_tables(chunks.where("chunk_type = 'table_stub'"), chunking.raw_tables(chunks))
+    return full.select("path", "row_count", F.contains("text", F.lit("| 24 | ")).alias("has_last"), F.length("text").cast("long").alias("chars"))
+
+
+@query(f"""
+SELECT CAST(rank AS INTEGER) AS n, '[' || rank || '] ' || title || chr(10) || 'Source: ' || path || chr(10) || 'Section: ' || section_heading || chr(10)
+  || 'Score: ' || printf('%.4f', round(CAST(score AS DECIMAL(18, 6)), 4)) || chr(10) || chr(10) || text AS block FROM ({_HITS})""")
+def context_format(spark, sf_dir):
+    return context.format_context(_hit_chunks(spark, sf_dir).withColumn("url", F.col("path")))
+
+
+#: The state of an earlier run: every seventh document unknown, some changed since, some in error, some gone.
+def _disk_and_state(spark, sf_dir):
+    docs = files(spark, sf_dir)
+    disk = docs.select("root", "path", F.length("text").cast("long").alias("size"), F.col("doc_id").alias("mtime_ns"), ids.content_hash(F.col("text")).alias("content_hash"))
+    case = F.col("doc_id") % 7
+    state_ = docs.where(case != 0).select(
+        "root",
+        F.when(case == 6, F.concat(F.lit("old-"), "path")).otherwise(F.col("path")).alias("path"),
+        F.length("text").cast("long").alias("size"),
+        F.when(case.isin(1, 2), F.col("doc_id") - 1).otherwise(F.col("doc_id")).alias("mtime_ns"),
+        F.when(case == 1, F.lit("another")).otherwise(ids.content_hash(F.col("text"))).alias("content_hash"),
+        F.when(case == 3, "error").otherwise("indexed").alias("status"),
+        F.when(case == 4, "0").otherwise(sync.INDEX_VERSION).alias("index_version"),
+    )
+    return disk, state_
+
+
+@query(f"""
+SELECT root, path, CASE doc_id % 7 WHEN 0 THEN 'added' WHEN 2 THEN 'touched' WHEN 5 THEN 'unchanged' WHEN 6 THEN 'added' ELSE 'modified' END AS change FROM ({FILES})
+UNION ALL SELECT root, 'old-' || path, 'deleted' FROM ({FILES}) WHERE doc_id % 7 = 6""")
+def file_diff(spark, sf_dir):
+    disk, state_ = _disk_and_state(spark, sf_dir)
+    return sync.confirm(sync.diff(disk, state_), disk, state_).select("root", "path", "change")
+
+
+@query(f"""
+SELECT status, files FROM (SELECT status, count(*) AS files FROM (
+  SELECT CASE WHEN doc_id % 7 = 4 THEN 'error' ELSE 'indexed' END AS status FROM documents) GROUP BY ROLLUP (status)) WHERE status IS NOT NULL
+UNION ALL SELECT 'total', count(*) FROM documents""")
+def status_counts(spark, sf_dir):
+    """Counts after a run in which the files of an older index version failed."""
+    disk, state_ = _disk_and_state(spark, sf_dir)
+    changed = sync.confirm(sync.diff(disk, state_), disk, state_)
+    failed = (F.col("change") == "modified") & (F.col("mtime_ns") % 7 == 4)
+    outcome = changed.join(disk.select("root", "path", "mtime_ns"), sync.KEY, "left").select(*sync.KEY, "change", "content_hash", F.when(failed, "cannot read").alias("error"))
+    return sync.status_counts(sync.next_state(state_, disk, outcome))
+
+
+#: Texts embedded earlier: those of documents with an even id.
+def _cache(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").where("doc_id % 2 = 0")
+    vectors = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding")
+    return docs.join(vectors, "doc_id", "left").select(F.lit("m").alias("model"), F.sha2("text", 256).alias("text_sha"), "embedding", F.col("doc_id").alias("pos"))
+
+
+@query("""
+SELECT DISTINCT sha256(text) AS text_sha FROM documents WHERE sha256(text) NOT IN (SELECT sha256(text) FROM documents WHERE doc_id % 2 = 0)""")
+def embed_cache_pending(spark, sf_dir):
+    return sync.pending_texts(table(spark, sf_dir, "documents"), _cache(spark, sf_dir), "m").select("text_sha")
+
+
+@query("""
+SELECT sha256(text) AS text_sha, max(doc_id) AS pos FROM documents WHERE doc_id % 2 = 0
+AND sha256(text) IN (SELECT sha256(text) FROM documents WHERE lang = 'en') GROUP BY 1""")
+def cache_prune(spark, sf_dir):
+    live = table(spark, sf_dir, "documents").where("lang = 'en'")
+    kept = sync.prune_cache(_cache(spark, sf_dir), live)
+    return kept.groupBy("text_sha").agg(F.max("pos").alias("pos"))
+
+
+@query("SELECT doc_id, lang, CASE WHEN lang = 'en' THEN 'new' ELSE 'old' END AS version FROM documents")
+def upsert_replace(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "lang")
+    return sync.replace_by_key(docs.withColumn("version", F.lit("old")), docs.where("lang = 'en'").withColumn("version", F.lit("new")), ["doc_id"])
+
+
+@query()
+def card_structural(spark, sf_dir):
+    docs = _region_table(spark, sf_dir).select(F.lit("regions").alias("root"), F.concat("r_name", F.lit(".md")).alias("path"), F.concat(F.lit("# "), "r_name", F.lit("\n\n"), "text").alias("text"))
+    return cards.structural_cards(chunking.chunk_frame(docs))
+
+
+@query()
+def greedy_group(spark, sf_dir):
+    texts = F.transform(F.array_sort(F.collect_list(F.struct("seq", "text"))), lambda s: s["text"])
+    grouped = _chunks(spark, sf_dir).groupBy("root", "path").agg(cards.greedy_groups(texts).alias("groups"))
+    return grouped.select("root", "path", F.size("groups").alias("groups"), F.transform("groups", lambda g: F.size(g)).alias("sizes"))
+
+
+@query("""
+SELECT conv_id, turn, coalesce(string_agg(line, chr(10) ORDER BY t2) FILTER (line IS NOT NULL), '') AS history FROM (
+  SELECT a.conv_id, a.turn, b.turn AS t2, CASE WHEN b.role = 'user' THEN 'User: ' ELSE 'Assistant: ' END || b.text AS line
+  FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS p FROM conversations) a
+  LEFT JOIN (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS p FROM conversations) b
+  ON a.conv_id = b.conv_id AND b.p BETWEEN a.p - 6 AND a.p - 1) GROUP BY conv_id, turn""")
+def history_window(spark, sf_dir):
+    return state.history(table(spark, sf_dir, "conversations"))
+
+
+@query("SELECT conv_id, count(*) AS messages, max(turn) AS last_turn FROM conversations GROUP BY conv_id")
+def conversation_list(spark, sf_dir):
+    return state.conversation_list(table(spark, sf_dir, "conversations"))
+
+
+@query("""
+SELECT conv_id, messages, CAST(row_number() OVER (ORDER BY (conv_id IN (3, 5)) DESC, messages DESC, conv_id) AS INTEGER) AS place
+FROM (SELECT conv_id, count(*) AS messages FROM conversations GROUP BY conv_id) ORDER BY place LIMIT 20""")
+def lru_evict(spark, sf_dir):
+    listed = state.conversation_list(table(spark, sf_dir, "conversations")).select("conv_id", "messages")
+    return state.keep_recent(listed, "messages", [3, 5])
+
+
+_GOLD = """
+SELECT query_id, doc_id FROM (VALUES (1), (2), (3), (4)) AS g(query_id), labels WHERE quality = 1
+UNION ALL SELECT 5, doc_id FROM labels WHERE toxic = 1"""
+_SCORES = f"""
+WITH hits AS ({_ranked_sql(10)}), gold AS ({_GOLD}), cuts AS (SELECT * FROM (VALUES (1), (3), (5), (10)) AS c(k)),
+sizes AS (SELECT query_id, count(DISTINCT doc_id) AS gold FROM gold GROUP BY query_id),
+found AS (SELECT h.query_id, k, count(*) AS n, count(g.doc_id) AS overlap, min(CASE WHEN g.doc_id IS NOT NULL THEN rank END) AS first
+  FROM hits h CROSS JOIN cuts LEFT JOIN gold g ON g.query_id = h.query_id AND g.doc_id = h.doc_id WHERE rank <= k GROUP BY h.query_id, k)
+SELECT s.query_id, c.k, CASE WHEN first IS NOT NULL THEN 1.0 ELSE 0.0 END AS hit, coalesce(overlap / gold, 0.0) AS recall,
+  coalesce(overlap / n, 0.0) AS precision, coalesce(1.0 / first, 0.0) AS mrr FROM sizes s CROSS JOIN cuts c LEFT JOIN found f ON f.query_id = s.query_id AND f.k = c.k"""
+
+
+def _scores(spark, sf_dir) -> DataFrame:
+    labels = table(spark, sf_dir, "labels")
+    good = spark.range(1, 5).select(F.col("id").cast("int").alias("query_id")).crossJoin(labels.where("quality = 1").select("doc_id"))
+    gold = good.unionByName(labels.where("toxic = 1").select(F.lit(5).alias("query_id"), "doc_id"))
+    return evaluate.score_questions(_bm25(spark, sf_dir, 10), gold, id_col="doc_id")
+
+
+_ROUNDED = ", ".join(f"round(CAST({m} AS DOUBLE), 6) AS {m}" for m in ("hit", "recall", "precision", "mrr"))
+
+
+@query(f"SELECT query_id, k, {_ROUNDED} FROM ({_SCORES})")
+def eval_metrics(spark, sf_dir):
+    return _scores(spark, sf_dir).select("query_id", "k", *(F.round(m, 6).alias(m) for m in ("hit", "recall", "precision", "mrr")))
+
+
+_MEANS = ", ".join(f"round(CAST(avg({m}) AS DOUBLE), 6) AS {m}" for m in ("hit", "recall", "precision", "mrr"))
+_KINDS_SQL = "CASE WHEN query_id = 5 THEN 'toxic' ELSE 'quality' END AS category, CASE WHEN query_id IN (1, 5) THEN 'easy' ELSE 'hard' END AS difficulty"
+
+
+@query(f"""
+WITH s AS (SELECT *, {_KINDS_SQL} FROM ({_SCORES}))
+SELECT k, 'all' AS part, '' AS value, count(*) AS n, {_MEANS} FROM s GROUP BY k
+UNION ALL SELECT k, 'category', category, count(*), {_MEANS} FROM s GROUP BY k, category
+UNION ALL SELECT k, 'difficulty', difficulty, count(*), {_MEANS} FROM s GROUP BY k, difficulty""")
+def eval_breakdown(spark, sf_dir):
+    kinds = _scores(spark, sf_dir).withColumns(
+        {"category": F.when(F.col("query_id") == 5, "toxic").otherwise("quality"), "difficulty": F.when(F.col("query_id").isin(1, 5), "easy").otherwise("hard")}
+    )
+    return evaluate.breakdown(kinds, ["category", "difficulty"])
+
+
+@query("""
+SELECT criterion, count(*) AS n, round(avg(score), 3) AS mean FROM (
+  SELECT 'faithfulness' AS criterion, 1 + 4.0 * quality AS score FROM labels UNION ALL
+  SELECT 'answer_relevance', 5 - 4.0 * toxic FROM labels UNION ALL SELECT 'citation_accuracy', 3.0 + quality - toxic FROM labels) GROUP BY criterion""")
+def judge_summary(spark, sf_dir):
+    labels = table(spark, sf_dir, "labels")
+    judged = labels.select(
+        F.col("doc_id").alias("id"),
+        (1 + 4.0 * F.col("quality")).alias("faithfulness"),
+        (5 - 4.0 * F.col("toxic")).alias("answer_relevance"),
+        (3.0 + F.col("quality") - F.col("toxic")).alias("citation_accuracy"),
+    )
+    return evaluate.judge_summary(judged, labels.select(F.col("doc_id").alias("id")))
+
+
+@query("""
+SELECT p_partkey, CASE WHEN b < 1024 THEN 'tiny_file' WHEN w < 96 OR h < 96 THEN 'too_small' WHEN w * h < 12000 THEN 'too_small_area'
+  WHEN greatest(w, h) / least(w, h) > 8 THEN 'thin' WHEN ink < 0.005 THEN 'blank' WHEN x < 48 OR y < 48 OR x * y < 4000 THEN 'small_on_page'
+  WHEN n >= 3 AND w * h < 200000 THEN 'repeated' END AS reason
+FROM (SELECT p_partkey, CAST(p_retailprice * 10 AS BIGINT) AS b, p_size * 20 AS w, 40 + p_partkey % 400 AS h, (p_partkey % 50) / 100.0 AS ink,
+  p_size * 4.0 AS x, 30.0 + p_partkey % 90 AS y, count(*) OVER (PARTITION BY p_type, p_brand, p_size) AS n FROM part)""")
+def asset_reject_case(spark, sf_dir):
+    part = table(spark, sf_dir, "part").select(
+        "p_partkey", F.col("p_type").alias("file_id"), F.concat_ws("|", "p_brand", "p_size").alias("sha256"),
+        F.round(F.col("p_retailprice") * 10).cast("long").alias("b"), (F.col("p_size") * 20).alias("w"), (40 + F.col("p_partkey") % 400).alias("h"),
+        ((F.col("p_partkey") % 50) / 100.0).alias("ink"), (F.col("p_size") * 4.0).alias("x"), (30.0 + F.col("p_partkey") % 90).alias("y"),
+    )
+    unknown = F.lit(None).cast("double")
+    reason = assets.reject_reason(F.col("b"), F.col("w"), F.col("h"), F.col("ink"), (F.col("x"), F.col("y")), (unknown, unknown), F.col("occurrences"))
+    return assets.with_occurrences(part).select("p_partkey", reason.alias("reason"))
+
+
+@query("""
+WITH c AS (SELECT event_type, CAST(floor(value) AS BIGINT) % 256 AS v, count(*) AS n FROM events WHERE value IS NOT NULL GROUP BY 1, 2),
+t AS (SELECT event_type, sum(n) AS total, arg_min(v, (-n, v)) AS mode FROM c GROUP BY event_type)
+SELECT event_type, round(sum(-(n / total) * log2(n / total)), 6) AS entropy, round(sum(CASE WHEN abs(v - mode) > 16 THEN n ELSE 0 END) / any_value(total), 6) AS ink
+FROM c JOIN t USING (event_type) GROUP BY event_type""")
+def pixel_entropy(spark, sf_dir):
+    samples = table(spark, sf_dir, "events").where("value IS NOT NULL").select("event_type", (F.floor("value") % 256).alias("value"))
+    return assets.pixel_metrics(samples, "event_type")
+
+
+@query("""
+WITH g AS (SELECT *, CASE WHEN lag(ts) OVER w IS NULL OR ts - lag(ts) OVER w >= INTERVAL 1 HOUR THEN 1 ELSE 0 END AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
+s AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts RANGE UNBOUNDED PRECEDING) AS sid FROM g)
+SELECT user_id, min(ts) AS first_ts, max(ts) AS last_ts, count(*) AS events FROM s GROUP BY user_id, sid""")
+def debounce_sessions(spark, sf_dir):
+    return changes.debounce(table(spark, sf_dir, "events").select(F.col("user_id"), "ts", "event_id", "event_type"), ["user_id"], "1 hour", "event_type", "event_id").select(
+        "user_id", "first_ts", "last_ts", "events"
+    )
+
+
+@query("""
+SELECT user_id AS scope, event_type AS path, max(CASE WHEN value < 20 THEN 'delete' ELSE 'upsert' END) AS action, arg_max(CASE WHEN value < 20 THEN 'delete' ELSE 'upsert' END, event_id) AS last_action
+FROM events GROUP BY user_id, event_type""")
+def coalesce_last_action(spark, sf_dir):
+    action = F.when(F.col("value") < 20, "delete").otherwise("upsert")
+    events = table(spark, sf_dir, "events").select(F.col("user_id").alias("scope"), F.col("event_type").alias("path"), action.alias("action"), "event_id")
+    last = events.groupBy("scope", "path").agg(F.max_by("action", "event_id").alias("last_action"))
+    return sync.collapse_changes(events).join(last, ["scope", "path"])
+
+
+@query("""
+SELECT event_id, json_extract_string(props, '$.' || json_keys(props)[1]) AS first_value, len(json_keys(props)) AS keys FROM events WHERE props LIKE '{%}'""")
+def json_extract_tolerant(spark, sf_dir):
+    """props wrapped in prose and a fence, as a model would answer."""
+    wrapped = F.concat(F.lit("Here you are:\n```json\n"), "props", F.lit("\n```\nDone."))
+    found = table(spark, sf_dir, "events").where("props LIKE '{%}'").select("event_id", F.from_json(X.json_object(wrapped), "map<string,string>").alias("m"), F.json_object_keys(X.json_object(wrapped)).alias("k"))
+    return found.select("event_id", F.try_element_at("m", F.col("k")[0]).alias("first_value"), F.size("k").cast("long").alias("keys"))
