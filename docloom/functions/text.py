@@ -87,8 +87,7 @@ def section_references(text: Column) -> Column:
 
 def mentions_document(query: Column, path: Column) -> Column:
     """Whether the normalised query contains the normalised stem or file name."""
-    q = F.concat(F.lit(" "), normalised(query), F.lit(" "))
-    within = lambda name: (normalised(name) != "") & F.contains(q, normalised(name))
+    within = lambda name: (normalised(name) != "") & F.contains(normalised(query), normalised(name))
     return F.coalesce(within(stem(path)) | within(file_name(path)), F.lit(False))
 
 

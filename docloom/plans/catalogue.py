@@ -361,7 +361,7 @@ def table_number_scan(spark, sf_dir):
 
 @query(r"""
 SELECT conv_id, turn, regexp_matches(text, '(?i)\b(section|chapter|part|mục|chương|phần)\b') AS keyword, regexp_matches(text, '\d+\.\d+') AS dotted,
-  contains(' ' || trim(regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g')) || ' ', 'doc 1') AS names_doc
+  contains(trim(regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g')), 'doc 1') AS names_doc
 FROM conversations""")
 def section_query_gate(spark, sf_dir):
     asked = table(spark, sf_dir, "conversations")

@@ -63,9 +63,9 @@ class Engine:
         outcome = changes.join(read.select(*sync.KEY, "error"), sync.KEY, "left")
         gone = outcome.where("change IN ('added', 'modified', 'deleted') AND error IS NULL").select(*sync.KEY)
         new = chunking.chunk_frame(fresh.where("error IS NULL"))
+        counts = changes.groupBy("change").count().collect()  # before the state is written: that renews what is cached from it
         self._replace("chunks", sync.replace_by_key(self.chunks.where(F.col("root") == root), new, sync.KEY, gone))
         self._replace("state", sync.next_state(old, disk, outcome))
-        counts = changes.groupBy("change").count().collect()
         read.unpersist(), changes.unpersist()
         return self.spark.createDataFrame([(r["change"], r["count"]) for r in counts], "change string, files long")
 

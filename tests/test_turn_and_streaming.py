@@ -1,0 +1,122 @@
+import time
+
+import pytest
+
+from docloom.plans import turn as T
+from docloom.streaming import changes
+
+
+@pytest.mark.parametrize(
+    "intent,mode,routed,current,want",
+    [
+        ("chat", T.EXPLICIT, ["a"], ["b"], None),
+        ("workspace", None, ["a"], [], None),
+        ("question", T.EXPLICIT, ["a"], ["b"], ["a"]),
+        ("followup", T.EXPLICIT, [], ["b"], ["b"]),
+        ("question", T.EXPLICIT, [], ["b"], None),
+        ("question", T.INHERIT, ["a"], ["b"], ["b"]),
+        ("followup", T.INHERIT, ["a"], [], None),
+        ("question", T.GLOBAL, ["a"], ["b"], None),
+        ("question", None, ["a"], [], ["a"]),
+        ("followup", None, [], ["b"], ["b"]),
+        ("question", None, [], ["b"], None),
+    ],
+)
+def test_guard(intent, mode, routed, current, want):
+    assert T.guard_scope(intent, mode, routed, current) == want
+
+
+def test_precedence():
+    files = ["a", "b", "c"]
+    read = T.Route("followup", T.INHERIT, ["c"], ["q"])
+    plan = lambda **k: T.decide_turn(**{"requested": [], "files": files, "excluded": [], "last_used": ["b", "gone"], "router": lambda: read} | k)
+    assert plan(requested=["c", "c"]).paths == ["c"] and plan(excluded=["a"]).paths == ["b", "c"]
+    assert plan().paths == ["b"] and plan().mode == T.INHERIT
+    assert plan(last_used=[]).mode == T.GLOBAL and plan(last_used=[]).paths is None
+    assert plan(excluded=files).no_context and plan(excluded=files, requested=["a"]).paths == ["a"]
+    assert plan(use_session=False).intent == "question"
+
+
+def test_router_answers():
+    cards = {"1": "a.md", "2": "b.md"}
+    ok = T.route("q", cards, lambda p: 'x {"intent": "followup", "scope_mode": "EXPLICIT_DOCS", "doc_ids": [2, 9, 1, 2], "queries": ["u", "", "u", "v", "w", "z"]} y')
+    assert (ok.intent, ok.mode, ok.paths, ok.queries) == ("followup", T.EXPLICIT, ["b.md", "a.md"], ["u", "v", "w"])
+    for bad in (lambda p: "none", lambda p: 1 / 0, lambda p: "{broken"):
+        assert T.route("q", cards, bad) == T.Route()
+    assert T.align_queries(["x", "y"], ["a", "b"], ["b", "a"]) == ["y", "x"] and T.align_queries(["x"], ["a"], ["b"]) == ["x"]
+
+
+def test_section_queries():
+    names = lambda q, p: p in q
+    assert T.section_queries("q", [], [], ["a"], names) == ["q"]
+    assert T.section_queries("q", ["1"], ["x", "y"], ["a", "b"], names) == ["x", "y"]
+    assert T.section_queries("q", ["1", "2"], ["about b", "y"], ["a", "b"], names) == ["section 1", "section 2"]
+    assert T.section_queries("q", ["1"], [], ["a", "b"], names) == ["q", "q"]
+    assert T.section_queries("q", ["1", "2", "3"], [], ["a", "b"], names) == [None, None]
+
+
+def test_section_gate_and_ids():
+    outline = [("1", "Introduction"), ("2.1", "Training data mixtures")]
+    assert all(T.asks_for_section(q, outline) for q in ("see section two", "what is in 2.1", "explain 1", "the training data mixtures used"))
+    assert not any(T.asks_for_section(q, outline) for q in ("GPT-1 results", "an introduction", "in 1999"))
+    ids = {"s4": "Four", "s4.1": "Sub", "x1": "Notes here"}
+    assert T.parse_section_ids('{"section_ids": ["s4.1", "s4"]}', ids) == ["s4"]
+    assert T.parse_section_ids("s4.x1 and s4-2", ids) == ["s4"] and T.parse_section_ids('{"section_id": "x1"}', ids) == ["x1"]
+    assert T.parse_section_ids('{"found": false, "section_ids": ["s4"]}', ids) == [] and T.parse_section_ids("the notes here", ids) == ["x1"]
+
+
+def test_small_parsers():
+    assert T.parse_grades('{"relevant_indices": [2, 0, 9, 2]}', 3) == [2, 0] and T.parse_grades("?", 2) == [0, 1]
+    assert T.parse_intent("") == "chat" and T.parse_intent("It is a FollowUp.") == "followup" and T.parse_intent("hm") == "question"
+    assert T.condense("q", "", lambda p: "x") == "q" and T.condense("q", "h", lambda p: "Standalone question: full q") == "full q" and T.condense("q", "h", lambda p: 1 / 0) == "q"
+    assert T.choose_tables('{"table_ids": ["a", "z", "b", "c", "d"]}', list("abcd")) == ["a", "b", "c"] and T.choose_tables(None, ["a"]) == []
+    assert [T.after_grading(*x) for x in ((True, 0, False), (False, 0, False), (False, 1, True), (False, 1, False))] == ["answer", "rewrite", "external", "fallback"]
+    assert T.fill("__A__ __B__", a="__B__", b="x") == "x x"
+
+
+def test_chain_of_models():
+    now = [0.0]
+    calls = []
+    chain = T.Chain({"one": lambda p: calls.append(1) or 1 / 0, "two": lambda p: calls.append(2) or "ok"}, clock=lambda: now[0])
+    assert chain("p") == "ok" and chain("p") == "ok" and calls == [1, 2, 2]
+    now[0] = 301
+    assert chain("p") == "ok" and calls[-2:] == [1, 2]
+    with pytest.raises(RuntimeError):
+        T.Chain({"one": lambda p: ""})("p")
+
+
+def test_session():
+    s = T.Session().enter("/a").add("q", "r")
+    for i in range(12):
+        s = s.add(str(i), "x").enter(f"/a")
+    assert len(s.messages) == 20 and s.enter("/b").messages == () and s.enter("/b").recent == ("/b", "/a")
+
+
+def test_debounce(spark):
+    rows = [("s", "upsert", "a", "2024-01-01 00:00:00"), ("s", "delete", "a", "2024-01-01 00:00:01"), ("s", "upsert", "a", "2024-01-01 00:01:00")]
+    df = spark.createDataFrame(rows, "scope string, action string, path string, t string").selectExpr("scope", "action", "path", "timestamp(t) AS ts")
+    got = sorted((r.first_ts, r.action, r.events) for r in changes.debounce(df, ["scope", "path"], "5 seconds").collect())
+    assert [g[1:] for g in got] == [("delete", 2), ("upsert", 1)]
+    assert changes.effective(df, "other", (".md",)).count() == 0
+
+
+def test_snapshots(spark):
+    a = spark.createDataFrame([("r", "x", 1, 1), ("r", "y", 1, 1), ("r", "z", 1, 1)], "root string, path string, size long, mtime_ns long")
+    b = spark.createDataFrame([("r", "x", 1, 1), ("r", "y", 2, 1), ("r", "w", 1, 1)], "root string, path string, size long, mtime_ns long")
+    assert {(r.path, r.action) for r in changes.snapshot_events(a, b).collect()} == {("y", "upsert"), ("z", "delete"), ("w", "upsert")}
+
+
+def test_coalesced_stream(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    lines = ['{"scope":"s","action":"%s","path":"%s","ts":"2024-01-01T00:00:0%d"}' % x for x in (("upsert", "a", 0), ("upsert", "b", 1), ("delete", "b", 2), ("upsert", "a", 3))]
+    (tmp_path / "in" / "1.json").write_text("\n".join(lines))
+    stream = changes.coalesce(spark.readStream.schema(changes.EVENT).json(str(tmp_path / "in")), quiet_ms=300)
+    q = stream.writeStream.format("memory").queryName("batches").option("checkpointLocation", str(tmp_path / "cp")).trigger(processingTime="200 milliseconds").start()
+    try:
+        for _ in range(60):
+            time.sleep(0.5)
+            if spark.table("batches").count():
+                break
+        assert {(r.batch, r.path, r.action) for r in spark.table("batches").collect()} == {(0, "a", "upsert"), (0, "b", "delete")}
+    finally:
+        q.stop()
