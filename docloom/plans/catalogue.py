@@ -106,14 +106,14 @@ def _region_table(spark, sf_dir) -> DataFrame:
 @query("""
 SELECT CAST(n_nationkey AS BIGINT) AS n_nationkey, pos, type, level, text, cells FROM (
   SELECT n_nationkey, 0 AS pos, 'heading' AS type, 2 AS level, n_name AS text, NULL AS cells FROM nation
-  UNION ALL SELECT n_nationkey, 1, 'text', NULL, 'Part of ' || r_name || '.', NULL FROM nation JOIN region ON n_regionkey = r_regionkey
-  UNION ALL SELECT n_nationkey, 2, 'table', NULL, NULL, 'key,name;' || n_nationkey || ',' || n_name FROM nation)""")
+  UNION ALL SELECT n_nationkey, 1, 'text', 0, 'Part of ' || r_name || '.', NULL FROM nation JOIN region ON n_regionkey = r_regionkey
+  UNION ALL SELECT n_nationkey, 2, 'table', 0, NULL, 'key,name;' || n_nationkey || ',' || n_name FROM nation)""")
 def markdown_blocks(spark, sf_dir):
     nation = table(spark, sf_dir, "nation").join(table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
     text = F.format_string("## %s\r\n<!-- note -->\nPart of %s.  \n\n\n\n| key | name |\n|---|---|\n| %d | %s |", "n_name", "r_name", "n_nationkey", "n_name")
     rows = markdown.block_rows(nation.select(F.col("n_nationkey").cast("long").alias("n_nationkey"), text.alias("text")))
     cells = F.array_join(F.transform("rows", lambda r: F.array_join(r, ",")), ";")
-    return rows.select("n_nationkey", "pos", "type", "level", "text", cells.alias("cells"))
+    return rows.select("n_nationkey", "pos", "type", F.coalesce("level", F.lit(0)).alias("level"), "text", cells.alias("cells"))
 
 
 @query("""
@@ -139,7 +139,7 @@ def table_stub(spark, sf_dir):
     return stubs.select("asset_id", F.expr("substring(text, length(context_header) + 3)").alias("stub"), "row_count")
 
 
-@query()
+@query("SELECT n_regionkey AS r_regionkey, 1 AS blocks, CAST(count(*) + 1 AS INTEGER) AS rows FROM nation GROUP BY n_regionkey")
 def page_break_merge(spark, sf_dir):
     """The table of each region, broken by a page number before each nation."""
     broken = F.regexp_replace("text", r"\n(\| \d)", "\n\n7\n\n| key | name |\n$1")
@@ -492,17 +492,32 @@ def upsert_replace(spark, sf_dir):
     return sync.replace_by_key(docs.withColumn("version", F.lit("old")), docs.where("lang = 'en'").withColumn("version", F.lit("new")), ["doc_id"])
 
 
-@query()
+@query("""
+SELECT r_name || '.md' AS path, r_name AS title, 1 AS tables, md5('regions' || chr(10) || r_name || '.md') || '_x1_t0' AS asset_id,
+  'Table with columns: key, name. Rows: ' || count(*) || '.' AS caption, CAST(count(*) AS INTEGER) AS row_count, 0 AS images, CAST(1 AS BIGINT) AS text_chunks, true AS stale
+FROM nation JOIN region ON n_regionkey = r_regionkey GROUP BY r_name""")
 def card_structural(spark, sf_dir):
     docs = _region_table(spark, sf_dir).select(F.lit("regions").alias("root"), F.concat("r_name", F.lit(".md")).alias("path"), F.concat(F.lit("# "), "r_name", F.lit("\n\n"), "text").alias("text"))
-    return cards.structural_cards(chunking.chunk_frame(docs))
+    made = cards.structural_cards(chunking.chunk_frame(docs))
+    first = F.col("tables")[0]
+    return made.select(
+        "path", "title", F.size("tables").alias("tables"), first["asset_id"].alias("asset_id"), first["caption"].alias("caption"),
+        first["row_count"].alias("row_count"), F.size("images").alias("images"), "text_chunks", "stale",
+    )
 
 
-@query()
+@query(f"""
+WITH RECURSIVE c AS (SELECT root, path, seq, length(text) AS n FROM ({_CHUNKS})),
+r AS (SELECT root, path, seq, n AS size, 1 AS grp FROM c WHERE seq = 1
+  UNION ALL SELECT c.root, c.path, c.seq, CASE WHEN r.size + c.n <= 6000 THEN r.size + c.n ELSE c.n END, CASE WHEN r.size + c.n <= 6000 THEN grp ELSE grp + 1 END
+  FROM r JOIN c ON c.root = r.root AND c.path = r.path AND c.seq = r.seq + 1)
+SELECT root, path, CAST(max(grp) AS INTEGER) AS groups, string_agg(CAST(members AS VARCHAR), ',' ORDER BY grp) AS sizes
+FROM (SELECT root, path, grp, count(*) AS members FROM r GROUP BY root, path, grp) GROUP BY root, path""")
 def greedy_group(spark, sf_dir):
     texts = F.transform(F.array_sort(F.collect_list(F.struct("seq", "text"))), lambda s: s["text"])
     grouped = _chunks(spark, sf_dir).groupBy("root", "path").agg(cards.greedy_groups(texts).alias("groups"))
-    return grouped.select("root", "path", F.size("groups").alias("groups"), F.transform("groups", lambda g: F.size(g)).alias("sizes"))
+    sizes = F.array_join(F.transform("groups", lambda g: F.size(g).cast("string")), ",")
+    return grouped.select("root", "path", F.size("groups").alias("groups"), sizes.alias("sizes"))
 
 
 @query("""
