@@ -17,6 +17,7 @@ from docloom.operators import cards, chunking, context, search, structure, sync
 from docloom.sources import files, stores
 
 from . import turn
+from .jobs import WRITER
 
 STATE = "root string, path string, size long, mtime_ns long, content_hash string, status string, index_version string"
 TOP_K = 8
@@ -52,7 +53,10 @@ class Engine:
         """Bring the index in line with the folder; gives the counts by kind of change.
 
         Only new and changed files are decoded, and only if their content is not the one indexed."""
-        root = files.normal_root(folder)
+        with WRITER:
+            return self._sync(files.normal_root(folder))
+
+    def _sync(self, root: str) -> DataFrame:
         disk = files.scan(self.spark, root).drop("name", "ext")
         old = self.state.where(F.col("root") == root)
         found = sync.diff(disk, old)
@@ -87,6 +91,30 @@ class Engine:
     def tables(self, root: str) -> DataFrame:
         return chunking.raw_tables(self.chunks.where(search.in_scope(root)))
 
+    def tree(self, root: str) -> dict:
+        return files.tree(self.state.where(F.col("root") == root))
+
+    def read(self, root: str, path: str) -> dict:
+        return files.read_content(self.spark, root, path)
+
+    def insight(self, root: str, path: str, generate, cache: dict) -> dict:
+        """Summary of a document by generate(kind, text), kept in cache until its content changes."""
+        card = self.cards(root).where(F.col("path") == path).first()
+        if card is None:
+            raise ValueError("no such document")
+        known = cache.get((root, path))
+        if known is None or known["file_hash"] != card["file_hash"]:
+            texts = [r["text"] for r in self.chunks.where(search.in_scope(root, [path])).orderBy("seq").select("text").collect()]
+            cache[root, path] = {"summary": cards.summarise(texts, generate), "file_hash": card["file_hash"]}
+        return cache[root, path]
+
+    def insights(self, root: str, cache: dict) -> DataFrame:
+        """Every document with its summary and whether that is stale; without one: stale."""
+        rows = [(r, p, v["summary"], v["file_hash"]) for (r, p), v in cache.items() if r == root]
+        known = self.spark.createDataFrame(rows, "root string, path string, summary string, file_hash string")
+        made = cards.structural_cards(self.chunks.where(search.in_scope(root)), known).select("root", "path", "title", "stale")
+        return made.join(known.drop("file_hash"), ["root", "path"], "left").orderBy("path")
+
     def embedded(self, rows: DataFrame) -> DataFrame:
         """rows with dense: the vector of their text."""
         embed = self.embed

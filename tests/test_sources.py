@@ -93,6 +93,10 @@ def test_engine_round(spark, folder, tmp_path_factory):
     assert "epsilon" in turn["context"] and turn["answer"].endswith("characters") and len(turn["session"].messages) == 2
     assert [r.section_id for r in engine.outline(root, "a.md").collect()] == ["x1"]
     assert {r.path for r in engine.sources(root).collect()} == {"a.md", "c.docx"}
+    assert engine.tree(root)["files"] == ["a.md", "c.docx", "p.pdf"] and "epsilon" in engine.read(root, "a.md")["content"]
+    cache = {}
+    assert engine.insight(root, "a.md", lambda kind, text: kind, cache)["summary"] == "single"
+    assert {r.path: (r.stale, r.summary) for r in engine.insights(root, cache).collect()} == {"a.md": (False, "single"), "c.docx": (True, None)}
 
 
 def test_engine_with_vectors(spark, folder, tmp_path_factory):
