@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from .common import free_name
 
-POSITIVES, NEGATIVES = 800, 1600
+POSITIVES, NEGATIVES = 400, 800
 FEATURE_BITS = 18
 PREFIXES = (3, 4, 5, 6)
 #: A word or prefix marks toxic tokens if it is in so many toxic documents (and in 2 % of them), and the
