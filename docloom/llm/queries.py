@@ -20,8 +20,8 @@ def op1_simhash(spark, sf_dir):
 
 def op2_bpe(spark, sf_dir):
     path = public_tokenizers.path("byte_bpe_50k.tiktoken")
-    encoded = bpe.encode_documents(table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN)
-    return bpe.decode_documents(encoded, path, public_tokenizers.PATTERN).select(
+    documents = table(spark, sf_dir, "documents")
+    return bpe.encode_documents(documents, path, public_tokenizers.PATTERN, decode=True).select(
         "doc_id", "n_tokens", F.sha2("token_ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256")
     )
 
