@@ -23,8 +23,8 @@ from pyspark.sql import functions as F
 WIDTHS = (4, 8, 12, 16, 24, 32, 48, 64, 128, 256)
 LONGEST = WIDTHS[-1]
 ROWS_AT_ONCE = 20_000
-CHARACTERS_AT_ONCE = 2_000_000
-CACHE = 300_000
+CHARACTERS_AT_ONCE = 1_000_000
+CACHE = 200_000
 NONE = np.int32(2**31 - 1)
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
