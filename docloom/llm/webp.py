@@ -81,14 +81,22 @@ class PrefixCode:
         return symbol
 
 
-def reverse_bits(values: np.ndarray, width: int) -> np.ndarray:
-    out = np.zeros_like(values)
-    for _ in range(width):
+def _reversed16() -> np.ndarray:
+    values, out = np.arange(1 << 16), np.zeros(1 << 16, np.int64)
+    for _ in range(16):
         out = (out << 1) | (values & 1)
         values = values >> 1
     return out
 
 
+_REVERSED = _reversed16()
+
+
+def reverse_bits(values: np.ndarray, width) -> np.ndarray:
+    """Numbers of `width` bits, 16 at most, back to front."""
+    return _REVERSED[values] >> (16 - width)
+
+
 def read_code(bits: Bits, alphabet: int) -> PrefixCode:
     lengths = np.zeros(alphabet, np.int64)
     if bits.read(1):
@@ -198,17 +206,24 @@ def _literals(bits: Bits, group: list[PrefixCode], total: int) -> np.ndarray | N
         raw = np.frombuffer(bits.data, np.uint8)[first:].astype(np.uint32)
         words = raw[:-3] | (raw[1:-2] << 8) | (raw[2:-1] << 16)
         windows = ((words[:, None] >> np.arange(8, dtype=np.uint32)) & np.uint32((1 << green.width) - 1)).ravel()
-        follow = (np.arange(len(windows)) + green.lengths[windows]).tolist()
-        spots, at, end = [], bits.at & 7, len(follow)
-        put = spots.append
-        try:
-            for _ in range(total):
-                put(at)
-                at = follow[at]
-        except IndexError:
-            raise ValueError("picture data ends early") from None
-        bits.at = first * 8 + at
-        if bits.at > bits.size or at > end:
+        end = len(windows)
+        one = np.empty(end + 1, np.int32)
+        np.minimum(np.arange(end) + green.lengths[windows], end, out=one[:-1], casting="unsafe")
+        one[end] = end
+        two = one[one]
+        four = two[two]
+        eight = memoryview(four[four])
+        at, marks = bits.at & 7, []
+        put = marks.append
+        for _ in range(-(-total // 8)):  # every eighth symbol is walked to, those between are looked up
+            put(at)
+            at = eight[at]
+        spots = np.array(marks, np.int32)
+        for jump in (four, two, one):
+            spots = np.column_stack([spots, jump[spots]]).ravel()
+        spots = spots[:total]
+        bits.at = first * 8 + int(one[spots[-1]])
+        if bits.at > bits.size or spots[-1] >= end:
             raise ValueError("picture data ends early")
         values = green.symbols[windows[spots]].astype(np.uint32)
     rest = (group[3].only << 24) | (group[1].only << 16) | group[2].only
@@ -383,11 +398,12 @@ def code_lengths(counts: np.ndarray, longest: int) -> np.ndarray:
 def codes_of(lengths: np.ndarray) -> np.ndarray:
     """Canonical codes, bits reversed for writing."""
     codes = np.zeros(len(lengths), np.int64)
-    code = 0
-    for size in range(1, int(lengths.max()) + 1):
-        own = np.flatnonzero(lengths == size)
-        codes[own] = reverse_bits(code + np.arange(len(own)), size)
-        code = (code + len(own)) << 1
+    used = np.flatnonzero(lengths)
+    order = used[np.argsort(lengths[used], kind="stable")]
+    size = lengths[order]
+    longest = int(size[-1])
+    starts = np.concatenate([[0], np.cumsum(1 << (longest - size))[:-1]])
+    codes[order] = reverse_bits(starts >> (longest - size), size)
     return codes
 
 
