@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 SAMPLES = 128
-TABLE = 40_000  # terms remembered by process; 12 * SAMPLES bytes each
+TABLE = 70_000  # terms remembered by process; 12 * SAMPLES bytes each
 STEP = 8_000  # terms of one text taken at a time
 ROWS_A_BUCKET = 4_000
 _GOLDEN, _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -40,13 +40,13 @@ def term_hashes(terms: list[bytes]) -> np.ndarray:
 
 def draws(hashes: np.ndarray, samples: int = SAMPLES):
     """(value at weight 1, r, b), each by term and sample."""
-    counter = np.arange(1, samples * 5 + 1, dtype=np.uint64) * _GOLDEN
+    counter = np.arange(1, samples * 3 + 1, dtype=np.uint64) * _GOLDEN
     bits = _mix(_mix(hashes)[:, None] + counter)
-    u = ((bits >> np.uint64(11)).astype(np.float64) + 0.5) * 2.0**-53
-    u = u.reshape(len(hashes), 5, samples)
-    r = -np.log(u[:, 0] * u[:, 1])
-    ln_c = np.log(-np.log(u[:, 2] * u[:, 3]))
-    return (ln_c + r * u[:, 4] - r).astype(np.float32), r.astype(np.float32), u[:, 4].astype(np.float32)
+    u = bits.view(np.uint32).astype(np.float32) * np.float32(2.0**-32) + np.float32(2.0**-33)  # two from each number
+    u = u.reshape(len(hashes), 6, samples)
+    r = np.maximum(-np.log(u[:, 0] * u[:, 1]), np.float32(1e-6))
+    ln_c = np.log(np.maximum(-np.log(u[:, 2] * u[:, 3]), np.float32(1e-6)))
+    return ln_c + r * u[:, 4] - r, r, u[:, 4]
 
 
 class Sampler:

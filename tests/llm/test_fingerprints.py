@@ -32,12 +32,12 @@ def test_collisions_follow_generalised_jaccard():
     rng = random.Random(1)
     sampler = P.Sampler()
     errors = []
-    for _ in range(60):
-        a = Counter({b"t%d" % i: rng.randint(1, 6) for i in rng.sample(range(60), 40)})
+    for z in range(200):  # other terms for each pair, so that errors are independent
+        a = Counter({b"t%d %d" % (z, i): rng.randint(1, 6) for i in range(40)})
         b = Counter({t: (n if rng.random() < 0.6 else rng.randint(1, 9)) for t, n in a.items() if rng.random() < 0.8})
-        b.update({b"u%d" % i: 1 for i in range(rng.randint(0, 20))})
+        b.update({b"u%d %d" % (z, i): 1 for i in range(rng.randint(0, 20))})
         errors.append(P.likeness(sampler.fingerprint(a), sampler.fingerprint(b)) - jaccard(a, b))
-    assert abs(np.mean(errors)) < 0.015 and np.std(errors) < 0.06
+    assert abs(np.mean(errors)) < 0.01 and np.std(errors) < 0.06
 
 
 def test_samples_match_brute_force():
