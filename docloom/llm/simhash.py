@@ -231,15 +231,20 @@ def variant_keys(hashes: np.ndarray) -> np.ndarray:
     return _mix(without + np.arange(_SIZE, dtype=np.uint64).reshape(mixed.shape)).ravel().view(np.int64)
 
 
-def _sketch_column(column, width: int):
-    @F.pandas_udf("struct<fp:long, keys:array<long>>")
+def _sketch_column(column, width: int, similarity: float, frequent):
+    """Fingerprint, variant keys, number of distinct shingles and prefix of each text."""
+
+    @F.pandas_udf("struct<fp:long, keys:array<long>, size:int, prefix:array<long>>")
     def sketched(texts: pd.Series) -> pd.DataFrame:
-        prints, keys = [], []
+        prints, keys, sizes, prefixes = [], [], [], []
         for t in texts:
             h = shingle_hashes(t, width)
             prints.append(simhash64(h))
-            keys.append(variant_keys(np.unique(h)))
-        return pd.DataFrame({"fp": np.array(prints, np.uint64).view(np.int64), "keys": keys})
+            h = np.unique(h)
+            keys.append(variant_keys(h))
+            sizes.append(len(h))
+            prefixes.append(prefix_of(h, similarity, frequent.value).view(np.int64))
+        return pd.DataFrame({"fp": np.array(prints, np.uint64).view(np.int64), "keys": keys, "size": np.array(sizes, np.int32), "prefix": prefixes})
 
     return sketched(column)
 
@@ -258,7 +263,8 @@ def _candidates(index: DataFrame) -> DataFrame:
     """Pairs (u, v), u < v, of nodes that share a key of index (key, node).
 
     Members of a key with more than BUCKET nodes are paired with two of them only, drawn anew for each key:
-    near copies share a dozen keys or more, so each meets many others of its group."""
+    near copies share a dozen keys or more, so each meets many others of its group.  The exact join of
+    near_copy_classes finds the links that this leaves out."""
     drawn = F.col("node").bitwiseXOR(F.xxhash64("key"))
     keys = materialize(
         index.groupBy("key").agg(F.count("*").alias("n"), F.min(drawn).alias("lo"), F.max(drawn).alias("hi")).where("n > 1")
@@ -280,15 +286,145 @@ def _candidates(index: DataFrame) -> DataFrame:
     return two.unionByName(crowded).unionByName(few).where("u < v").distinct()
 
 
+# What keys may miss is found by an exact join.  All texts order their shingles alike: those of the list of
+# frequent ones last, else by hash.  Texts at the similarity share a shingle among the first of both.
+
+#: Texts from which frequent shingles are told, in how many of them such a shingle is, and the longest list.
+#: They only order shingles: any order finds the same links.
+ORDER_TEXTS, ORDER_LEAST, ORDER_MOST = 4000, 3, 50_000
+#: Ranges of shingle hashes that are joined each by itself, and records packed at once.
+RANGES, RECORDS = 1024, 1_000_000
+_RECORD = np.dtype([("token", "<i8"), ("node", "<i8"), ("root", "<i8"), ("pos", "<i4"), ("size", "<i4")])
+_MIXED = "token long, node long, root long, pos int, size int"
+
+
+def prefix_of(distinct: np.ndarray, similarity: float, frequent: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """The first n - ceil(similarity * n) + 1 of n sorted distinct shingles in the common order.
+
+    frequent: sorted hashes and their ranks."""
+    n = len(distinct)
+    if not n:
+        return distinct
+    least = n - int(np.ceil(similarity * n - 1e-9)) + 1
+    hashes, ranks = frequent
+    if len(hashes):
+        at = np.minimum(np.searchsorted(hashes, distinct), len(hashes) - 1)
+        known = hashes[at] == distinct
+        if known.any():
+            distinct = np.concatenate([distinct[~known], distinct[known][np.argsort(ranks[at[known]])]])
+    return distinct[:least]
+
+
+def _frequent_shingles(docs: DataFrame, text, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes (sorted) and ranks (the most frequent last) of the shingles that many of some texts have."""
+
+    @F.pandas_udf("array<long>")
+    def distinct(texts: pd.Series) -> pd.Series:
+        return pd.Series([np.unique(shingle_hashes(t, width)).view(np.int64) for t in texts], dtype=object)
+
+    every = max(1, docs.count() // ORDER_TEXTS)
+    some = docs.select(text.alias("text")).where(F.pmod(F.xxhash64("text"), F.lit(every)) == 0).distinct()
+    found = (
+        some.select(F.explode(distinct("text")).alias("token"))
+        .groupBy("token")
+        .count()
+        .where(F.col("count") >= ORDER_LEAST)
+        .orderBy(F.desc("count"), "token")
+        .limit(ORDER_MOST)
+        .collect()
+    )
+    hashes = np.array([r[0] for r in found], np.int64).view(np.uint64)
+    order = np.argsort(hashes)
+    return hashes[order], len(hashes) - order
+
+
+def _pack(batches):
+    """Rows (node, root, size, prefix) as records in bytes, by range of hashes."""
+
+    def packed(parts):
+        records = np.concatenate(parts)
+        where = (records["token"].view(np.uint64) % np.uint64(RANGES)).astype(np.int32)
+        order = np.argsort(where, kind="stable")
+        records, where = records[order], where[order]
+        cuts = np.flatnonzero(np.diff(where, prepend=-1))
+        return pd.DataFrame({"range": where[cuts], "records": [p.tobytes() for p in np.split(records, cuts[1:])]})
+
+    parts, held = [], 0
+    for batch in batches:
+        batch = batch[batch["size"] > 0]
+        for node, root, size, prefix in zip(batch["node"].to_numpy(), batch["root"].to_numpy(), batch["size"].to_numpy(), batch["prefix"]):
+            part = np.empty(len(prefix), _RECORD)
+            part["token"], part["node"], part["root"], part["pos"], part["size"] = prefix, node, root, np.arange(len(prefix)), size
+            parts.append(part)
+            held += len(part)
+            if held >= RECORDS:
+                yield packed(parts)
+                parts, held = [], 0
+    if parts:
+        yield packed(parts)
+
+
+def _mixed_records(group: pd.DataFrame) -> pd.DataFrame:
+    """Records of the shingles that texts of more than one root have, each text once."""
+    r = np.concatenate([np.frombuffer(b, _RECORD) for b in group["records"]])
+    r = r[np.lexsort((r["node"], r["token"]))]
+    same = r["token"][1:] == r["token"][:-1]
+    r = r[~np.append(False, same & (r["node"][1:] == r["node"][:-1]))]
+    starts = np.flatnonzero(np.append(True, r["token"][1:] != r["token"][:-1]))
+    mixed = np.minimum.reduceat(r["root"], starts) < np.maximum.reduceat(r["root"], starts)
+    r = r[np.repeat(mixed, np.diff(np.append(starts, len(r))))]
+    return pd.DataFrame({name: r[name] for name in _RECORD.names})
+
+
+def _pairs_of(similarity: float, stars: bool):
+    """Pairs of texts of different roots that share a shingle and may reach the similarity.
+
+    The first shingle two texts share leaves them no more others than follow in each; pairs that this or
+    their sizes rule out are left.  stars: only pairs with the text where the shingle comes first, which of
+    near copies is the one with the fewest words of its own."""
+
+    def pairs(group: pd.DataFrame) -> pd.DataFrame:
+        g = group.sort_values(["token", "pos", "node"])
+        token, node, root, pos, size = (g[c].to_numpy() for c in ("token", "node", "root", "pos", "size"))
+        first = np.append(True, token[1:] != token[:-1])
+        found, held = [], 0
+        left = np.flatnonzero(first) if stars else np.arange(len(g))
+        lag = 0
+        while len(left):
+            lag += 1
+            left = left[left + lag < len(g)]
+            left = left[token[left] == token[left + lag]]
+            right = left + lag
+            needed = np.ceil(similarity / (1 + similarity) * (size[left] + size[right].astype(np.int64)) - 1e-6)
+            rest = np.minimum(size[left] - pos[left], size[right] - pos[right])
+            good = (root[left] != root[right]) & (rest >= needed) & (np.minimum(size[left], size[right]) >= similarity * np.maximum(size[left], size[right]) - 1e-6)
+            if good.any():
+                a, b = node[left[good]], node[right[good]]
+                found.append(np.stack([np.minimum(a, b), np.maximum(a, b)], 1))
+                held += len(a)
+                if held > RECORDS:
+                    found = [np.unique(np.concatenate(found), axis=0)]
+                    held = 0
+        both = np.unique(np.concatenate(found), axis=0) if found else np.empty((0, 2), np.int64)
+        return pd.DataFrame({"u": both[:, 0], "v": both[:, 1]})
+
+    return pairs
+
+
+def _small(df: DataFrame) -> DataFrame:
+    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
+
+
 def near_copy_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: float = 0.8) -> DataFrame:
     """doc_id, node (hash of the text), root for each row of docs: rows of one root are near copies.
 
-    Texts are linked if the Jaccard similarity of their sets of shingles is at least `similarity`; links are
-    proposed by SimHash fingerprints and by variants of min-wise hashes, and verified on the whole sets.
-    Equal texts are linked, null texts are empty ones."""
+    Texts are linked if the Jaccard similarity of their sets of shingles is at least `similarity`.  Links are
+    proposed by SimHash fingerprints and by variants of min-wise hashes, then by an exact join of the texts
+    that these leave apart, and verified on the whole sets.  Equal texts are linked, null texts are empty ones."""
     text = F.coalesce(F.col(text_col), F.lit(""))
+    frequent = docs.sparkSession.sparkContext.broadcast(_frequent_shingles(docs, text, width))
     rows = materialize(
-        docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text).alias("node"), _sketch_column(text, width).alias("s")).select("doc_id", "node", "s.fp", "s.keys")
+        docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text).alias("node"), _sketch_column(text, width, similarity, frequent).alias("s")).select("doc_id", "node", "s.*")
     )
     texts = materialize(rows.groupBy("node").agg(F.min("fp").alias("fp"), F.first("keys").alias("keys")))
     by_keys = _candidates(texts.select(F.explode("keys").alias("key"), "node"))
@@ -296,25 +432,43 @@ def near_copy_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     same_print = texts.join(prints.where("n > 1"), "fp").select(F.col("first").alias("u"), F.col("node").alias("v")).where("u <> v")
     first_of = lambda c: prints.select(F.col("fp").alias(c), F.col("first").alias(f"{c}_node"))
     by_print = near_links(prints.select("fp")).join(first_of("u"), "u").join(first_of("v"), "v").select(F.col("u_node").alias("u"), F.col("v_node").alias("v"))
-    pairs = materialize(by_keys.unionByName(same_print.unionByName(by_print).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))).distinct())
-    concerned = pairs.select(F.col("u").alias("node")).union(pairs.select("v")).distinct()
-    one_row = concerned.join(rows.groupBy("node").agg(F.min("doc_id").alias("first_id")), "node")
     full = docs.select(F.col(id_col).alias("doc_id"), text.alias("text")).withColumn("node", F.xxhash64("text"))
-    hint = F.broadcast if concerned.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else (lambda df: df)
-    sets = materialize(
-        full.join(hint(one_row), "node")
-        .where(F.col("doc_id").eqNullSafe(F.col("first_id")))
-        .select("node", _set_column(F.col("text"), width).alias("shingles"))
-        .dropDuplicates(["node"])
-    )
-    common = F.size(F.array_intersect("a", "b"))
-    links = (
-        pairs.join(sets.select(F.col("node").alias("u"), F.col("shingles").alias("a")), "u")
-        .join(sets.select(F.col("node").alias("v"), F.col("shingles").alias("b")), "v")
-        .where(common >= similarity * (F.size("a") + F.size("b") - common))
-        .select("u", "v")
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        concerned = pairs.select(F.col("u").alias("node")).union(pairs.select("v")).distinct()
+        one_row = concerned.join(rows.groupBy("node").agg(F.min("doc_id").alias("first_id")), "node")
+        sets = materialize(
+            full.join(_small(one_row), "node")
+            .where(F.col("doc_id").eqNullSafe(F.col("first_id")))
+            .select("node", _set_column(F.col("text"), width).alias("shingles"))
+            .dropDuplicates(["node"])
+        )
+        common = F.size(F.array_intersect("a", "b"))
+        return materialize(
+            pairs.join(sets.select(F.col("node").alias("u"), F.col("shingles").alias("a")), "u")
+            .join(sets.select(F.col("node").alias("v"), F.col("shingles").alias("b")), "v")
+            .where(common >= similarity * (F.size("a") + F.size("b") - common))
+            .select("u", "v")
+        )
+
+    links = verified(materialize(by_keys.unionByName(same_print.unionByName(by_print).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))).distinct()))
+    roots = materialize(components(links))
+    mixed = materialize(
+        rows.select("node", "size", "prefix")
+        .join(_small(roots), "node", "left")
+        .select("node", F.coalesce("root", "node").alias("root"), "size", "prefix")
+        .mapInPandas(_pack, "range int, records binary")
+        .groupBy("range")
+        .applyInPandas(_mixed_records, _MIXED)
     )
-    roots = components(links)
+    for stars in (True, False):
+        now = mixed.drop("root").join(_small(roots), "node", "left").withColumn("root", F.coalesce("root", "node"))
+        pairs = now.groupBy(F.pmod("token", F.lit(RANGES)).alias("range")).applyInPandas(_pairs_of(similarity, stars), "u long, v long")
+        more = verified(materialize(pairs.distinct()))
+        if more.limit(1).count():
+            # a link per text and root stands for those that led to the root
+            links = materialize(roots.select(F.col("node").alias("u"), F.col("root").alias("v")).unionByName(more).where("u <> v"))
+            roots = materialize(components(links))
     return rows.select("doc_id", "node").join(roots, "node", "left").select(
         "doc_id", "node", F.coalesce("root", "node").alias("root")
     )

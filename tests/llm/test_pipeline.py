@@ -99,3 +99,28 @@ def test_whole_chain(spark, texts, tmp_path):
     times = Counter(r.doc_id for r in out)
     assert max(times.values()) <= 4
     assert sorted((r.doc_id, r.n_tokens) for r in C.run(spark, str(tmp_path)).collect()) == sorted((r.doc_id, r.n_tokens) for r in out)
+
+
+def edited(rng, words, n, tag):
+    """words with n of them replaced, each in five shingles of its own."""
+    out = list(words)
+    for k, at in enumerate(rng.sample(range(1, len(words) // 6), n)):
+        out[6 * at] = f"{tag}k{k}"
+    return out
+
+
+def roots_of(spark, texts):
+    got = S.near_copy_classes(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    return {r.doc_id: r.root for r in got.collect()}
+
+
+def test_copies_that_meet_only_in_a_hub(spark):
+    rng = random.Random(11)
+    base = [f"b{i}" for i in range(304)]
+    leaves = [edited(rng, base, 6, f"e{i}") for i in range(300)]  # 30 of 300 shingles: 0.818 to the base
+    sets = [set(zip(*(w[k:] for k in range(5)))) for w in [base, *leaves]]
+    assert all(0.8 <= len(s & sets[0]) / len(s | sets[0]) <= 0.87 for s in sets[1:])
+    texts = [" ".join(w) for w in [*leaves, base]] + [" ".join(f"o{i}w{j}" for j in range(60)) for i in range(20)]
+    got = roots_of(spark, texts)
+    assert len({got[i] for i in range(301)}) == 1
+    assert len(set(got.values())) == 21
