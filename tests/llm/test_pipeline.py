@@ -124,3 +124,22 @@ def test_copies_that_meet_only_in_a_hub(spark):
     got = roots_of(spark, texts)
     assert len({got[i] for i in range(301)}) == 1
     assert len(set(got.values())) == 21
+
+
+def test_pairs_without_a_common_key(spark):
+    rng = random.Random(5)
+    texts = []
+    for k in range(4000):
+        base = [f"p{k}b{i}" for i in range(304)]
+        pair = [base, edited(rng, base, 6, f"p{k}e")]
+        pair[1] += [f"p{k}t{i}" for i in range(5)]  # 30 of 300 replaced and 5 added: 270 of 335
+        keys = [set(S.variant_keys(S.np.unique(S.shingle_hashes(" ".join(w), 5))).tolist()) for w in pair]
+        if not keys[0] & keys[1]:
+            texts += [" ".join(w) for w in pair]
+        if len(texts) == 6:
+            break
+    assert len(texts) == 6
+    roots = groups(texts)
+    assert len(set(roots)) == 3
+    got = roots_of(spark, texts)
+    assert all((got[i] == got[j]) == (roots[i] == roots[j]) for i in range(6) for j in range(6))
