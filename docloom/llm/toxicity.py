@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from .common import free_name
 
-POSITIVES, NEGATIVES = 400, 800
+POSITIVES, NEGATIVES = 800, 1600
 FEATURE_BITS = 18
 PREFIXES = (3, 4, 5, 6)
 #: A word or prefix marks toxic tokens if it is in so many toxic documents (and in 2 % of them), and the
@@ -36,6 +36,8 @@ SEEN_SHARE = 0.2
 ROUNDS = 25
 SPAN_AT = 0.5
 TOKENS_AT_ONCE = 400_000
+#: Training passes over so many tokens at once, which bounds what the driver holds.
+TRAIN_AT_ONCE = 100_000
 CACHE = 300_000
 WORD = re.compile(r"\w+")
 
@@ -192,20 +194,38 @@ def mark_tokens(documents: list[list[str]], toxic: list[int]) -> set[str]:
 
 def without_copies(documents: list[list[str]]) -> list[int]:
     """Positions of documents that mostly say what no earlier one says."""
-    seen: set[int] = set()
-    kept = []
-    for i, words in enumerate(documents):
-        runs = {hash(run) for run in zip(*(words[k:] for k in range(5)))} or {hash(tuple(words))}
-        if len(runs & seen) <= SEEN_SHARE * len(runs):
-            kept.append(i)
-        seen |= runs
-    return kept
+    runs = []
+    for words in documents:
+        runs.append(np.unique(np.fromiter((hash(run) for run in zip(*(words[k:] for k in range(5)))), np.int64)))
+        if not len(runs[-1]):
+            runs[-1] = np.array([hash(tuple(words))])
+    if not runs:
+        return []
+    sizes = np.array([len(r) for r in runs])
+    of = np.repeat(np.arange(len(runs), dtype=np.int32), sizes)
+    every = np.concatenate(runs)
+    order = np.argsort(every, kind="stable")  # equal runs stay in the order of their documents
+    again = np.append(False, every[order][1:] == every[order][:-1])
+    seen = np.bincount(of[order[again]], minlength=len(runs))
+    return np.flatnonzero(seen <= SEEN_SHARE * sizes).tolist()
+
+
+def _parts(sizes: np.ndarray) -> list[tuple[int, int]]:
+    """Ranges of documents with TRAIN_AT_ONCE tokens or little more."""
+    at, parts, held = 0, [], 0
+    for i, n in enumerate(sizes.tolist()):
+        held += n
+        if held >= TRAIN_AT_ONCE:
+            parts.append((at, i + 1))
+            at, held = i + 1, 0
+    return parts + [(at, len(sizes))] * (at < len(sizes))
 
 
 def train(texts: list[str], toxic: list[int]) -> Model:
     """Fit the field and the curve.  With one class only, every score is the smoothed share of toxic documents."""
     pairs = list(dict.fromkeys(zip(texts, toxic)))
-    documents, y = [words_of(t) for t, _ in pairs], [int(v) for _, v in pairs]
+    same: dict[str, str] = {}  # one object for each word, however often it occurs
+    documents, y = [[same.setdefault(w, w) for w in words_of(t)] for t, _ in pairs], [int(v) for _, v in pairs]
     kept = without_copies(documents)
     documents, y = [documents[i] for i in kept], [y[i] for i in kept]
     base = (sum(y) + 1) / (len(y) + 2)
@@ -214,7 +234,7 @@ def train(texts: list[str], toxic: list[int]) -> Model:
         return model
     marks = mark_tokens(documents, y)
     index: dict[str, int] = {}
-    types = np.array([index.setdefault(w, len(index)) for d in documents for w in d])
+    types = np.fromiter((index.setdefault(w, len(index)) for d in documents for w in d), np.int32)
     features = [word_features(w) for w in index]
     marked = np.array([not marks.isdisjoint(f) for f in features])
     slots = [np.array([zlib.crc32(k.encode("utf-8", "replace")) & ((1 << FEATURE_BITS) - 1) for k in f]) for f in features]
@@ -225,21 +245,26 @@ def train(texts: list[str], toxic: list[int]) -> Model:
     first[np.cumsum([0, *sizes])[:-1][sizes > 0]] = True
     truth = marked[types] & np.repeat(np.array(y, bool), sizes)
     follows = ~first[1:]
-    before, after = truth[:-1][follows].astype(int), truth[1:][follows].astype(int)
+    before, after = truth[:-1][follows].astype(np.int8), truth[1:][follows].astype(np.int8)
     seen = np.bincount(before * 2 + after, minlength=4).astype(float)
+    edges = np.cumsum([0, *sizes])
+    parts = [(edges[i], edges[j]) for i, j in _parts(sizes) if edges[i] < edges[j]]
     right = np.bincount(types, truth, len(slots_index := index))
     tied = np.array([0.0, 0.0, 0.0, 0.0])  # log factors 00 01 10 11
     grad_sign, steps, weights = None, None, model.weights
     active = np.unique(slots)
     for _ in range(ROUNDS):
-        energy = np.bincount(of_type, weights[slots], len(slots_index))[types]
+        energy = np.bincount(of_type, weights[slots], len(slots_index))
         move = np.exp(tied).reshape(2, 2)
-        e = np.exp(np.clip(energy, -30, 30))
-        chance, forward, backward = marginals(e, first, move, model.start)
-        a, g = forward[:-1][follows], backward[1:][follows]
-        pair = np.stack([(1 - a) * move[0, 0] * (1 - g), (1 - a) * move[0, 1] * g, a * move[1, 0] * (1 - g), a * move[1, 1] * g])
-        pair = (pair / pair.sum(0)).sum(1)
-        by_type = right - np.bincount(types, chance, len(slots_index))
+        by_type, pair = right.copy(), np.zeros(4)
+        for i, j in parts:
+            e = np.exp(np.clip(energy[types[i:j]], -30, 30))
+            chance, forward, backward = marginals(e, first[i:j], move, model.start)
+            inner = ~first[i + 1 : j]
+            a, g = forward[:-1][inner], backward[1:][inner]
+            both = np.stack([(1 - a) * move[0, 0] * (1 - g), (1 - a) * move[0, 1] * g, a * move[1, 0] * (1 - g), a * move[1, 1] * g])
+            pair += (both / both.sum(0)).sum(1)
+            by_type -= np.bincount(types[i:j], chance, len(slots_index))
         grad = np.concatenate([np.bincount(slots, by_type[of_type], 1 << FEATURE_BITS)[active] - 0.05 * weights[active], (seen - pair) - 0.05 * tied])
         sign = np.sign(grad)
         if grad_sign is None:
@@ -250,7 +275,9 @@ def train(texts: list[str], toxic: list[int]) -> Model:
         weights[active] += (sign * steps)[:-4]
         tied += (sign * steps)[-4:]
     model.move = np.exp(tied - tied.max()).reshape(2, 2)
-    model.curve = _logistic(summary(model.tag(documents)), np.array(y, float))
+    summaries = [summary(model.tag(documents[i:j])) for i, j in _parts(sizes)]
+    model.curve = _logistic(np.concatenate(summaries), np.array(y, float))
+    model.cache = {}
     return model
 
 

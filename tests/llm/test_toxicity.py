@@ -76,3 +76,27 @@ def test_learning_leaves_the_held_out_fold_alone(spark):
     assert len(rows) == sum(zlib.crc32(str(i).encode()) % 3 != 1 for i in range(90))
     assert len(T.sample_labels(docs, labels, "toxic", 3, 1, 4, 6)) == 10
     assert T.learn(docs, labels.limit(0)).score([np.empty(0)])[0] == pytest.approx(0.5)
+
+
+def test_toxic_words_in_three_hundredths_of_toxic_documents(spark):
+    rng = random.Random(9)
+    stems = ["".join(rng.choice("bcdfghjkvwxz") for _ in range(8)) for _ in range(33)]
+    y = [int(i % 3 == 0) for i in range(4200)]
+    texts = [document(rng, 0, 20) + f" {rng.choice(stems)}" * v for v in y]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    labels = spark.createDataFrame(list(enumerate(y)), "doc_id long, toxic int")
+    model = T.learn(docs, labels)
+    scores = model.score(model.tag([T.words_of(t) for t in texts]))
+    assert np.mean(scores[np.array(y) == 1] >= 0.7) > 0.9
+    assert np.mean(scores[np.array(y) == 0] < 0.7) > 0.99
+
+
+def test_training_in_parts_is_training_at_once(monkeypatch):
+    rng = random.Random(6)
+    y = [int(i % 4 == 0) for i in range(200)]
+    texts = [document(rng, v) for v in y]
+    whole = T.train(texts, y)
+    monkeypatch.setattr(T, "TRAIN_AT_ONCE", 500)
+    parts = T.train(texts, y)
+    assert np.allclose(whole.move, parts.move, rtol=1e-3, atol=1e-6)
+    assert np.allclose(whole.score(whole.tag([T.words_of(t) for t in texts])), parts.score(parts.tag([T.words_of(t) for t in texts])), atol=1e-2)
