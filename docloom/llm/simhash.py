@@ -22,6 +22,7 @@ from .common import free_name, materialize
 SEED = 42
 SEGMENT_BITS = 32
 BUCKET = 16
+HOT = 1000
 _BYTE_BITS = ((np.arange(256)[:, None] >> np.arange(8)) & 1).astype(np.int64)
 
 
@@ -132,6 +133,16 @@ def near_links(prints: DataFrame) -> DataFrame:
     return two.unionByName(few).unionByName(flips).distinct()
 
 
+def join_by_key(big: DataFrame, small: DataFrame, key: str, count_col: str, total: int) -> DataFrame:
+    """big joined with small, which has one row for a key and in count_col how many of the `total` rows of big have it.
+
+    Keys with more than 1 / HOT of all rows, which HOT keys at most can be, are broadcast, so that no task gets
+    all rows of such a key."""
+    hot = F.col(count_col) * HOT > total
+    few, rest = F.broadcast(small.where(hot).drop(count_col)), small.where(~hot).drop(count_col)
+    return big.join(few, key).unionByName(big.join(few.select(key), key, "left_anti").join(rest, key))
+
+
 def components(links: DataFrame, limit: int = 60) -> DataFrame:
     """(node, root) for each node that has a link; root is the least node reachable.
 
@@ -148,8 +159,8 @@ def components(links: DataFrame, limit: int = 60) -> DataFrame:
         return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
     for _ in range(limit):
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        least = both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).select("u", F.least("u", "m").alias("m"), "n")
+        large = join_by_key(both, least, "u", "n", 2 * before[0]).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = (
             large.join(least, "u")
@@ -174,15 +185,15 @@ def cluster_prints(prints: DataFrame) -> DataFrame:
     """prints (doc_id, fp) with component_id: the least doc_id reachable over links of at most 2 bits.
 
     Equal fingerprints are linked.  A component whose doc_ids are all null has the id null."""
-    classes = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("first_id")))
+    classes = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("n")))
     roots = components(near_links(classes.select("fp")))
-    merged = roots.join(classes.withColumnRenamed("fp", "node"), "node")
-    least = merged.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    of_linked = merged.join(least, "root").select(F.col("node").alias("fp"), "component_id")
+    merged = materialize(roots.join(classes.select(F.col("fp").alias("node"), "first_id"), "node"))
+    least = merged.groupBy("root").agg(F.min("first_id").alias("component_id"), F.count("*").alias("n"))
+    of_linked = join_by_key(merged, least, "root", "n", merged.count()).select(F.col("node").alias("fp"), "component_id")
     ids = classes.join(of_linked, "fp", "left").select(
-        "fp", F.when(F.col("component_id").isNull(), F.col("first_id")).otherwise(F.col("component_id")).alias("component_id")
+        "fp", "n", F.when(F.col("component_id").isNull(), F.col("first_id")).otherwise(F.col("component_id")).alias("component_id")
     )
-    return prints.join(ids, "fp", "left")
+    return join_by_key(prints, materialize(ids), "fp", "n", prints.count())
 
 
 def simhash_clusters(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3) -> DataFrame:
@@ -197,58 +208,85 @@ def simhash_clusters(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
 
 # Near copies at a Jaccard similarity, for which 64 bits are too few: at 0.8 over five-word shingles two
-# fingerprints differ in about 9 bits.  The same index of deletion variants is laid over min-wise hashes:
-# SEGMENTS segments of SEGMENT_HASHES hashes, each once for every hash left out.
-
-SEGMENTS, SEGMENT_HASHES = 6, 6
-_SIZE = SEGMENTS * SEGMENT_HASHES
-_RNG = np.random.default_rng(20)
-_FACTORS = _RNG.integers(0, 2**63, _SIZE, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_SHIFTS = _RNG.integers(0, 2**63, _SIZE, dtype=np.uint64)
-#: Losers of a deduplication are broadcast if there are no more than this (16 bytes each).
+# fingerprints differ in about 9 bits.  Fingerprints within two bits are linked first; the rest of the links
+# comes from an exact join.  All texts order their shingles alike: those of the list of frequent ones last,
+# else by hash.  Texts at the similarity share a shingle among the first of both (their prefixes).
+
+#: Texts from which frequent shingles are told, in how many of them such a shingle is, and the longest list.
+#: They only order shingles: any order finds the same links.
+ORDER_TEXTS, ORDER_LEAST, ORDER_MOST = 4000, 3, 50_000
+#: Tables are broadcast if they have no more rows than this (of 16 bytes each).
 BROADCAST_ROWS = 500_000
 
 
-def _mix(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
+def prefix_of(distinct: np.ndarray, similarity: float, frequent: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """The first n - ceil(similarity * n) + 1 of n sorted distinct shingles in the common order.
 
+    frequent: sorted hashes and their ranks."""
+    n = len(distinct)
+    if not n:
+        return distinct
+    least = n - int(np.ceil(similarity * n - 1e-9)) + 1
+    hashes, ranks = frequent
+    if len(hashes):
+        at = np.minimum(np.searchsorted(hashes, distinct), len(hashes) - 1)
+        known = hashes[at] == distinct
+        if known.any():
+            distinct = np.concatenate([distinct[~known], distinct[known][np.argsort(ranks[at[known]])]])
+    return distinct[:least]
 
-def variant_keys(hashes: np.ndarray) -> np.ndarray:
-    """A key for each min-wise hash left out of its segment; none for no shingles.
 
-    At similarity s two texts share a key with the chance 1 - (1 - s**6 - 6 * (1 - s) * s**5) ** 6: 0.998
-    at 0.8, more above."""
-    if not len(hashes):
-        return np.empty(0, np.int64)
-    least = np.full(_SIZE, np.uint64(2**64 - 1))
-    for k in range(0, len(hashes), 4096):
-        part = hashes[k : k + 4096]
-        np.minimum(least, (part[:, None] * _FACTORS + _SHIFTS).min(0), out=least)
-    mixed = _mix(least + np.arange(_SIZE, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)).reshape(SEGMENTS, SEGMENT_HASHES)
-    without = mixed.sum(1, keepdims=True, dtype=np.uint64) - mixed
-    return _mix(without + np.arange(_SIZE, dtype=np.uint64).reshape(mixed.shape)).ravel().view(np.int64)
+def parity_of(distinct: np.ndarray) -> bytes:
+    """A bitmap with two to four bits for a shingle: whether an odd number of shingles has that place.
+
+    Its halves laid over each other (exclusive or) are the bitmap of half the size."""
+    bits = 64
+    while bits < 2 * len(distinct):
+        bits *= 2
+    places = (distinct & np.uint64(bits - 1)).astype(np.int64)
+    return np.packbits(np.bincount(places, minlength=bits).astype(np.uint8) & 1, bitorder="little").tobytes()
+
+
+def least_difference(a: bytes, b: bytes) -> int:
+    """By their bitmaps, the least number of shingles that only one of two texts has."""
+    if len(a) < len(b):
+        a, b = b, a
+    x, size = int.from_bytes(a, "little"), len(a)
+    while size > len(b):
+        size //= 2
+        x = (x >> (8 * size)) ^ (x & ((1 << (8 * size)) - 1))
+    return (x ^ int.from_bytes(b, "little")).bit_count()
 
 
 def _sketch_column(column, width: int, similarity: float, frequent):
-    """Fingerprint, variant keys, number of distinct shingles and prefix of each text."""
+    """Fingerprint, number of distinct shingles, prefix and bitmap of each text."""
 
-    @F.pandas_udf("struct<fp:long, keys:array<long>, size:int, prefix:array<long>>")
+    @F.pandas_udf("struct<fp:long, size:int, prefix:array<long>, parity:binary>")
     def sketched(texts: pd.Series) -> pd.DataFrame:
-        prints, keys, sizes, prefixes = [], [], [], []
+        prints, sizes, prefixes, parities = [], [], [], []
         for t in texts:
             h = shingle_hashes(t, width)
             prints.append(simhash64(h))
             h = np.unique(h)
-            keys.append(variant_keys(h))
             sizes.append(len(h))
             prefixes.append(prefix_of(h, similarity, frequent.value).view(np.int64))
-        return pd.DataFrame({"fp": np.array(prints, np.uint64).view(np.int64), "keys": keys, "size": np.array(sizes, np.int32), "prefix": prefixes})
+            parities.append(parity_of(h))
+        return pd.DataFrame({"fp": np.array(prints, np.uint64).view(np.int64), "size": np.array(sizes, np.int32), "prefix": prefixes, "parity": parities})
 
     return sketched(column)
 
 
+def _may_reach(similarity: float, a, b, size_a, size_b):
+    """Whether the bitmaps and sizes of two texts leave room for the similarity."""
+
+    @F.pandas_udf("boolean")
+    def room(a: pd.Series, b: pd.Series, m: pd.Series, n: pd.Series) -> pd.Series:
+        most = (m + n) * (1 - similarity) / (1 + similarity) + 1e-6
+        return pd.Series([least_difference(x, y) <= k for x, y, k in zip(a, b, most)])
+
+    return room(a, b, size_a, size_b)
+
+
 def _set_column(column, width: int):
     """Distinct shingles of a text, as 32-bit hashes."""
 
@@ -259,62 +297,6 @@ def _set_column(column, width: int):
     return sets(column)
 
 
-def _candidates(index: DataFrame) -> DataFrame:
-    """Pairs (u, v), u < v, of nodes that share a key of index (key, node).
-
-    Members of a key with more than BUCKET nodes are paired with two of them only, drawn anew for each key:
-    near copies share a dozen keys or more, so each meets many others of its group.  The exact join of
-    near_copy_classes finds the links that this leaves out."""
-    drawn = F.col("node").bitwiseXOR(F.xxhash64("key"))
-    keys = materialize(
-        index.groupBy("key").agg(F.count("*").alias("n"), F.min(drawn).alias("lo"), F.max(drawn).alias("hi")).where("n > 1")
-    ).select("key", "n", *(F.col(c).bitwiseXOR(F.xxhash64("key")).alias(c) for c in ("lo", "hi")))
-    pair = lambda a, b: F.struct(F.least(a, b).alias("u"), F.greatest(a, b).alias("v"))
-    two = keys.where("n = 2").select(pair("lo", "hi").alias("p")).select("p.*")
-    crowded = (
-        index.join(keys.where(f"n > {BUCKET}").select("key", "lo", "hi"), "key")
-        .select(F.explode(F.array(pair("lo", "node"), pair("hi", "node"))).alias("p"))
-        .select("p.*")
-    )
-    few = (
-        index.join(keys.where(f"n BETWEEN 3 AND {BUCKET}").select("key"), "key")
-        .groupBy("key")
-        .agg(F.array_sort(F.collect_set("node")).alias("m"))
-        .select(F.explode(F.expr("flatten(transform(m, x -> transform(filter(m, y -> y > x), y -> named_struct('u', x, 'v', y))))")).alias("p"))
-        .select("p.u", "p.v")
-    )
-    return two.unionByName(crowded).unionByName(few).where("u < v").distinct()
-
-
-# What keys may miss is found by an exact join.  All texts order their shingles alike: those of the list of
-# frequent ones last, else by hash.  Texts at the similarity share a shingle among the first of both.
-
-#: Texts from which frequent shingles are told, in how many of them such a shingle is, and the longest list.
-#: They only order shingles: any order finds the same links.
-ORDER_TEXTS, ORDER_LEAST, ORDER_MOST = 4000, 3, 50_000
-#: Ranges of shingle hashes that are joined each by itself, and records packed at once.
-RANGES, RECORDS = 1024, 1_000_000
-_RECORD = np.dtype([("token", "<i8"), ("node", "<i8"), ("root", "<i8"), ("pos", "<i4"), ("size", "<i4")])
-_MIXED = "token long, node long, root long, pos int, size int"
-
-
-def prefix_of(distinct: np.ndarray, similarity: float, frequent: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
-    """The first n - ceil(similarity * n) + 1 of n sorted distinct shingles in the common order.
-
-    frequent: sorted hashes and their ranks."""
-    n = len(distinct)
-    if not n:
-        return distinct
-    least = n - int(np.ceil(similarity * n - 1e-9)) + 1
-    hashes, ranks = frequent
-    if len(hashes):
-        at = np.minimum(np.searchsorted(hashes, distinct), len(hashes) - 1)
-        known = hashes[at] == distinct
-        if known.any():
-            distinct = np.concatenate([distinct[~known], distinct[known][np.argsort(ranks[at[known]])]])
-    return distinct[:least]
-
-
 def _frequent_shingles(docs: DataFrame, text, width: int) -> tuple[np.ndarray, np.ndarray]:
     """Hashes (sorted) and ranks (the most frequent last) of the shingles that many of some texts have."""
 
@@ -338,104 +320,62 @@ def _frequent_shingles(docs: DataFrame, text, width: int) -> tuple[np.ndarray, n
     return hashes[order], len(hashes) - order
 
 
-def _pack(batches):
-    """Rows (node, root, size, prefix) as records in bytes, by range of hashes."""
-
-    def packed(parts):
-        records = np.concatenate(parts)
-        where = (records["token"].view(np.uint64) % np.uint64(RANGES)).astype(np.int32)
-        order = np.argsort(where, kind="stable")
-        records, where = records[order], where[order]
-        cuts = np.flatnonzero(np.diff(where, prepend=-1))
-        return pd.DataFrame({"range": where[cuts], "records": [p.tobytes() for p in np.split(records, cuts[1:])]})
-
-    parts, held = [], 0
-    for batch in batches:
-        batch = batch[batch["size"] > 0]
-        for node, root, size, prefix in zip(batch["node"].to_numpy(), batch["root"].to_numpy(), batch["size"].to_numpy(), batch["prefix"]):
-            part = np.empty(len(prefix), _RECORD)
-            part["token"], part["node"], part["root"], part["pos"], part["size"] = prefix, node, root, np.arange(len(prefix)), size
-            parts.append(part)
-            held += len(part)
-            if held >= RECORDS:
-                yield packed(parts)
-                parts, held = [], 0
-    if parts:
-        yield packed(parts)
-
-
-def _mixed_records(group: pd.DataFrame) -> pd.DataFrame:
-    """Records of the shingles that texts of more than one root have, each text once."""
-    r = np.concatenate([np.frombuffer(b, _RECORD) for b in group["records"]])
-    r = r[np.lexsort((r["node"], r["token"]))]
-    same = r["token"][1:] == r["token"][:-1]
-    r = r[~np.append(False, same & (r["node"][1:] == r["node"][:-1]))]
-    starts = np.flatnonzero(np.append(True, r["token"][1:] != r["token"][:-1]))
-    mixed = np.minimum.reduceat(r["root"], starts) < np.maximum.reduceat(r["root"], starts)
-    r = r[np.repeat(mixed, np.diff(np.append(starts, len(r))))]
-    return pd.DataFrame({name: r[name] for name in _RECORD.names})
-
-
-def _pairs_of(similarity: float, stars: bool):
-    """Pairs of texts of different roots that share a shingle and may reach the similarity.
-
-    The first shingle two texts share leaves them no more others than follow in each; pairs that this or
-    their sizes rule out are left.  stars: only pairs with the text where the shingle comes first, which of
-    near copies is the one with the fewest words of its own."""
-
-    def pairs(group: pd.DataFrame) -> pd.DataFrame:
-        g = group.sort_values(["token", "pos", "node"])
-        token, node, root, pos, size = (g[c].to_numpy() for c in ("token", "node", "root", "pos", "size"))
-        first = np.append(True, token[1:] != token[:-1])
-        found, held = [], 0
-        left = np.flatnonzero(first) if stars else np.arange(len(g))
-        lag = 0
-        while len(left):
-            lag += 1
-            left = left[left + lag < len(g)]
-            left = left[token[left] == token[left + lag]]
-            right = left + lag
-            needed = np.ceil(similarity / (1 + similarity) * (size[left] + size[right].astype(np.int64)) - 1e-6)
-            rest = np.minimum(size[left] - pos[left], size[right] - pos[right])
-            good = (root[left] != root[right]) & (rest >= needed) & (np.minimum(size[left], size[right]) >= similarity * np.maximum(size[left], size[right]) - 1e-6)
-            if good.any():
-                a, b = node[left[good]], node[right[good]]
-                found.append(np.stack([np.minimum(a, b), np.maximum(a, b)], 1))
-                held += len(a)
-                if held > RECORDS:
-                    found = [np.unique(np.concatenate(found), axis=0)]
-                    held = 0
-        both = np.unique(np.concatenate(found), axis=0) if found else np.empty((0, 2), np.int64)
-        return pd.DataFrame({"u": both[:, 0], "v": both[:, 1]})
-
-    return pairs
-
-
 def _small(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
 
 
+def _room(similarity: float):
+    """Condition on a shingle that the texts of u_ and v_ share: their sizes, and what follows the shingle in
+    each, leave room for the similarity.  It holds for the first shingle that linked texts share."""
+    sizes = F.col("u_size") + F.col("v_size")
+    follow = F.least(F.col("u_size") - F.col("u_pos"), F.col("v_size") - F.col("v_pos"))
+    alike = F.least("u_size", "v_size") >= similarity * F.greatest("u_size", "v_size") - 1e-6
+    return alike & (follow >= F.ceil(similarity / (1 + similarity) * sizes - 1e-6))
+
+
+def _star_pairs(shared: DataFrame, similarity: float) -> DataFrame:
+    """Pairs of each text with one other for each shingle that texts of several roots share: with the text
+    that has the greatest share of shared shingles, which of near copies is the one they were made from."""
+    centre = F.max(F.struct("weight", "node", "root", "size", "pos"))
+    centres = shared.groupBy("token").agg(centre.alias("c"), F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi")
+    centres = centres.select("token", *(F.col(f"c.{k}").alias(f"v_{k}") for k in ("node", "root", "size", "pos")))
+    return _renamed(shared, "u").join(centres, "token").where((F.col("u_root") != F.col("v_root")) & _room(similarity))
+
+
+def _cross_pairs(shared: DataFrame, similarity: float) -> DataFrame:
+    """All pairs of texts of different roots for each shingle: each text outside the commonest root of the
+    shingle with every other."""
+    roots = shared.groupBy("token", "root").agg(F.count("*").alias("n"))
+    common = roots.groupBy("token").agg(F.max_by("root", F.struct("n", "root")).alias("common"), F.count("*").alias("roots")).where("roots > 1")
+    marked = materialize(shared.join(common.select("token", "common"), "token"))
+    few = _renamed(marked.where("root <> common").drop("common"), "u")
+    once = (F.col("v_root") == F.col("common")) | (F.col("u_node") < F.col("v_node"))
+    return few.join(_renamed(marked, "v", "common"), "token").where((F.col("u_root") != F.col("v_root")) & once & _room(similarity))
+
+
+def _renamed(shared: DataFrame, side: str, *others: str) -> DataFrame:
+    return shared.select("token", *(F.col(k).alias(f"{side}_{k}") for k in ("node", "root", "size", "pos")), *others)
+
+
 def near_copy_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: float = 0.8) -> DataFrame:
     """doc_id, node (hash of the text), root for each row of docs: rows of one root are near copies.
 
     Texts are linked if the Jaccard similarity of their sets of shingles is at least `similarity`.  Links are
-    proposed by SimHash fingerprints and by variants of min-wise hashes, then by an exact join of the texts
-    that these leave apart, and verified on the whole sets.  Equal texts are linked, null texts are empty ones."""
+    proposed by SimHash fingerprints, then by an exact join of the texts that these leave apart, and verified
+    on the whole sets.  Equal texts are linked, null texts are empty ones."""
     text = F.coalesce(F.col(text_col), F.lit(""))
+    full = docs.select(F.col(id_col).alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("node"))
+    rows = materialize(full.select("doc_id", "node"))
     frequent = docs.sparkSession.sparkContext.broadcast(_frequent_shingles(docs, text, width))
-    rows = materialize(
-        docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text).alias("node"), _sketch_column(text, width, similarity, frequent).alias("s")).select("doc_id", "node", "s.*")
-    )
-    texts = materialize(rows.groupBy("node").agg(F.min("fp").alias("fp"), F.first("keys").alias("keys")))
-    by_keys = _candidates(texts.select(F.explode("keys").alias("key"), "node"))
-    prints = materialize(texts.groupBy("fp").agg(F.min("node").alias("first"), F.count("*").alias("n")))
-    same_print = texts.join(prints.where("n > 1"), "fp").select(F.col("first").alias("u"), F.col("node").alias("v")).where("u <> v")
-    first_of = lambda c: prints.select(F.col("fp").alias(c), F.col("first").alias(f"{c}_node"))
-    by_print = near_links(prints.select("fp")).join(first_of("u"), "u").join(first_of("v"), "v").select(F.col("u_node").alias("u"), F.col("v_node").alias("v"))
-    full = docs.select(F.col(id_col).alias("doc_id"), text.alias("text")).withColumn("node", F.xxhash64("text"))
+    texts = materialize(full.select("node", _sketch_column(F.col("text"), width, similarity, frequent).alias("s")).select("node", "s.*").dropDuplicates(["node"]))
 
     def verified(pairs: DataFrame) -> DataFrame:
-        concerned = pairs.select(F.col("u").alias("node")).union(pairs.select("v")).distinct()
+        """Links (u, v) among pairs: those with room by their bitmaps, then those with the shingles in common."""
+        sketch = lambda c: texts.select(F.col("node").alias(c), F.col("size").alias(f"{c}_size"), F.col("parity").alias(f"{c}_parity"))
+        pairs = pairs.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).where("u < v").distinct()
+        both = pairs.join(sketch("u"), "u").join(sketch("v"), "v")
+        likely = materialize(both.where(_may_reach(similarity, F.col("u_parity"), F.col("v_parity"), F.col("u_size"), F.col("v_size"))).select("u", "v"))
+        concerned = likely.select(F.col("u").alias("node")).union(likely.select("v")).distinct()
         one_row = concerned.join(rows.groupBy("node").agg(F.min("doc_id").alias("first_id")), "node")
         sets = materialize(
             full.join(_small(one_row), "node")
@@ -445,33 +385,32 @@ def near_copy_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
         )
         common = F.size(F.array_intersect("a", "b"))
         return materialize(
-            pairs.join(sets.select(F.col("node").alias("u"), F.col("shingles").alias("a")), "u")
+            likely.join(sets.select(F.col("node").alias("u"), F.col("shingles").alias("a")), "u")
             .join(sets.select(F.col("node").alias("v"), F.col("shingles").alias("b")), "v")
             .where(common >= similarity * (F.size("a") + F.size("b") - common))
             .select("u", "v")
         )
 
-    links = verified(materialize(by_keys.unionByName(same_print.unionByName(by_print).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))).distinct()))
+    prints = materialize(texts.groupBy("fp").agg(F.min("node").alias("first"), F.count("*").alias("n")))
+    first_of = lambda c: prints.select(F.col("fp").alias(c), F.col("first").alias(f"{c}_node"))
+    same_print = join_by_key(texts.select("fp", "node"), prints.where("n > 1"), "fp", "n", texts.count()).select(F.col("first").alias("u"), F.col("node").alias("v"))
+    by_print = near_links(prints.select("fp")).join(first_of("u"), "u").join(first_of("v"), "v").select(F.col("u_node").alias("u"), F.col("v_node").alias("v"))
+    links = verified(same_print.unionByName(by_print))
     roots = materialize(components(links))
-    mixed = materialize(
-        rows.select("node", "size", "prefix")
-        .join(_small(roots), "node", "left")
-        .select("node", F.coalesce("root", "node").alias("root"), "size", "prefix")
-        .mapInPandas(_pack, "range int, records binary")
-        .groupBy("range")
-        .applyInPandas(_mixed_records, _MIXED)
-    )
-    for stars in (True, False):
-        now = mixed.drop("root").join(_small(roots), "node", "left").withColumn("root", F.coalesce("root", "node"))
-        pairs = now.groupBy(F.pmod("token", F.lit(RANGES)).alias("range")).applyInPandas(_pairs_of(similarity, stars), "u long, v long")
-        more = verified(materialize(pairs.distinct()))
+
+    tokens = texts.select("node", F.posexplode("prefix").alias("pos", "token"))
+    several = tokens.groupBy("token").agg(F.count("*").alias("n")).where("n > 1").select("token")
+    shared = materialize(tokens.join(several, "token", "left_semi").select("token", "node", "pos"))
+    weights = materialize(texts.select("node", "size").join(shared.groupBy("node").agg(F.count("*").alias("n")), "node").select("node", "size", (F.col("n") / F.col("size")).cast("float").alias("weight")))
+    for proposed in (_star_pairs, _cross_pairs):
+        nodes = weights.join(_small(roots), "node", "left").withColumn("root", F.coalesce("root", "node"))
+        pairs = proposed(materialize(shared.join(nodes, "node")), similarity)
+        more = verified(pairs.select(F.col("u_node").alias("u"), F.col("v_node").alias("v")))
         if more.limit(1).count():
             # a link per text and root stands for those that led to the root
             links = materialize(roots.select(F.col("node").alias("u"), F.col("root").alias("v")).unionByName(more).where("u <> v"))
             roots = materialize(components(links))
-    return rows.select("doc_id", "node").join(roots, "node", "left").select(
-        "doc_id", "node", F.coalesce("root", "node").alias("root")
-    )
+    return rows.join(_small(roots), "node", "left").select("doc_id", "node", F.coalesce("root", "node").alias("root"))
 
 
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: float = 0.8) -> DataFrame:
@@ -479,11 +418,11 @@ def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
     Rows alike in id and text count as one; columns are handed on as they are; an empty table stays empty."""
     classes = materialize(near_copy_classes(docs, id_col, text_col, width, similarity))
-    own = classes.groupBy("root", "doc_id", "node").agg(F.count("*").alias("n"))
+    own = materialize(classes.groupBy("root", "doc_id", "node").agg(F.count("*").alias("n")))
     rank = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id"), F.col("node"))
-    best = classes.groupBy("root").agg(F.min(rank).alias("best")).select("root", "best.*")
-    loses = ~(F.col("c.doc_id").eqNullSafe(F.col("b.doc_id")) & (F.col("c.node") == F.col("b.node")))
-    losers = materialize(own.alias("c").join(best.alias("b"), "root").where(loses).select("c.doc_id", "c.node"))
+    best = own.groupBy("root").agg(F.min(rank).alias("best"), F.count("*").alias("of_root")).select("root", "best", "of_root")
+    loses = ~(F.col("doc_id").eqNullSafe(F.col("best.doc_id")) & (F.col("node") == F.col("best.node")))
+    losers = materialize(join_by_key(own, best, "root", "of_root", own.count()).where(loses).select("doc_id", "node"))
     repeated = materialize(own.where("n > 1").select("doc_id", "node"))
     n, m = free_name(docs, "near_node"), free_name(docs, "near_id")
     keyed = docs.withColumns({n: F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))), m: F.col(id_col)})

@@ -126,20 +126,47 @@ def test_copies_that_meet_only_in_a_hub(spark):
     assert len(set(got.values())) == 21
 
 
-def test_pairs_without_a_common_key(spark):
+def linked(spark, texts):
+    """Whether the classes of texts are those of a comparison of all pairs, and how many those are."""
+    roots, got = groups(texts), roots_of(spark, texts)
+    to = {}
+    assert all(to.setdefault(roots[i], got[i]) == got[i] for i in range(len(texts)))
+    assert len(set(to.values())) == len(to)
+    return len(to)
+
+
+def test_pairs_at_the_threshold(spark):
     rng = random.Random(5)
     texts = []
-    for k in range(4000):
+    for k in range(40):
         base = [f"p{k}b{i}" for i in range(304)]
-        pair = [base, edited(rng, base, 6, f"p{k}e")]
-        pair[1] += [f"p{k}t{i}" for i in range(5)]  # 30 of 300 replaced and 5 added: 270 of 335
-        keys = [set(S.variant_keys(S.np.unique(S.shingle_hashes(" ".join(w), 5))).tolist()) for w in pair]
-        if not keys[0] & keys[1]:
-            texts += [" ".join(w) for w in pair]
-        if len(texts) == 6:
-            break
-    assert len(texts) == 6
-    roots = groups(texts)
-    assert len(set(roots)) == 3
-    got = roots_of(spark, texts)
-    assert all((got[i] == got[j]) == (roots[i] == roots[j]) for i in range(6) for j in range(6))
+        other = edited(rng, base, 6, f"p{k}e") + [f"p{k}t{i}" for i in range(5 if k % 2 else 9)]
+        texts += [" ".join(base), " ".join(other)]  # 30 of 300 replaced and 5 or 9 added: 270 of 335 or 339
+    assert linked(spark, texts) == 20 + 40
+
+
+def test_pairs_that_share_a_passage(spark):
+    rng = random.Random(6)
+    passage = [f"licence{i}" for i in range(150)]
+    texts = []
+    for k in range(300):
+        base = passage + [f"p{k}b{i}" for i in range(28)]
+        texts += [" ".join(base), " ".join(base[:-8] + [f"p{k}e"] + base[-7:])]
+    assert linked(spark, texts) == 300
+
+
+def test_no_link_is_lost_in_a_large_group(spark):
+    rng = random.Random(8)
+    base = [f"b{i}" for i in range(120)]
+    texts = [" ".join(edited(rng, base, rng.randint(1, 4), f"e{i}")) for i in range(400)]
+    linked(spark, texts)
+
+
+def test_bitmaps_never_exceed_the_difference():
+    rng = S.np.random.default_rng(3)
+    for a, b, common in ((3, 0, 9), (1, 900, 40), (500, 60, 500), (30, 20, 5000), (0, 0, 0)):
+        parts = rng.integers(0, 2**63, a + b + common, dtype=S.np.uint64)
+        one, two = S.np.unique(parts[b:]), S.np.unique(S.np.concatenate([parts[:b], parts[a + b :]]))
+        least = S.least_difference(S.parity_of(one), S.parity_of(two))
+        assert least <= a + b and (a + b) % 2 == least % 2
+        assert least >= 0.6 * (a + b) or min(a, b) + common < (a + b) / 2
