@@ -122,44 +122,44 @@ def edited(text: str, following: str) -> str:
 
 
 def _placed(docs: DataFrame) -> DataFrame:
-    """docs with bucket and ahead; the first row of each bucket also stands, ahead, at the end of the one before."""
+    """docs with bucket and ahead; the first row of each bucket also stands, ahead, at the end of the one before.
+
+    id is doc_id with 0 for null, none says which are null: ids stay longs everywhere."""
     spark = docs.sparkSession
+    docs = docs.withColumns({"id": F.coalesce("doc_id", F.lit(0)), "none": F.col("doc_id").isNull()})
     rows = docs.count()
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), rows // ROWS_A_BUCKET)
-    cuts = docs.select("doc_id").approxQuantile("doc_id", [i / buckets for i in range(1, buckets)], 0.2 / buckets) if rows else []
-    cuts = np.unique(np.array(cuts, np.float64))
+    cuts = docs.where("NOT none").approxQuantile("id", [i / buckets for i in range(1, buckets)], 0.2 / buckets) if rows else []
+    cuts = np.unique(np.array([min(int(c), 2**63 - 1) for c in cuts], np.int64))
 
-    def bucket_of(ids: pd.Series) -> np.ndarray:
-        at = len(cuts) - np.searchsorted(cuts, ids.astype("float64").to_numpy(na_value=np.nan), "left")
-        return np.where(ids.isna().to_numpy(), len(cuts) + 1, at)
+    def bucket_of(ids: pd.Series, none: pd.Series) -> np.ndarray:
+        return np.where(none.to_numpy(bool), len(cuts) + 1, len(cuts) - np.searchsorted(cuts, ids.to_numpy(np.int64), "left"))
 
-    bucket = F.pandas_udf(lambda ids: pd.Series(bucket_of(ids)), "int")
+    bucket = F.pandas_udf(lambda ids, none: pd.Series(bucket_of(ids, none)), "int")
     heads = (
-        docs.select("doc_id", "tie", bucket(F.col("doc_id")).alias("bucket"))
+        docs.select("id", "none", "tie", bucket("id", "none").alias("bucket"))
         .groupBy("bucket")
-        .agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), (-F.col("doc_id")).alias("down"), "tie")).alias("head"))
+        .agg(F.min(F.struct("none", F.bitwise_not("id").alias("down"), "tie")).alias("head"))  # least of ~id: greatest id
         .collect()  # a row for each bucket
     )
-    heads = sorted((h["bucket"], None if h["head"]["none"] else -h["head"]["down"], h["head"]["tie"]) for h in heads)
-    before = {(i, tie): heads[k - 1][0] for k, (_, i, tie) in enumerate(heads)}
-    head_ids = {i for _, i, _ in heads}
+    heads = sorted((h["bucket"], h["head"]["none"], ~h["head"]["down"], h["head"]["tie"]) for h in heads)
+    before = {tuple(head): heads[k - 1][0] for k, (_, *head) in enumerate(heads)}
 
     @F.pandas_udf("array<struct<bucket:int, ahead:int>>")
-    def places(ids: pd.Series, ties: pd.Series) -> pd.Series:
+    def places(ids: pd.Series, none: pd.Series, ties: pd.Series) -> pd.Series:
         out = []
-        for own, i, tie in zip(bucket_of(ids).tolist(), ids.tolist(), ties.tolist()):
-            i = None if i is None or i != i else int(i)
+        for own, head in zip(bucket_of(ids, none).tolist(), zip(none.tolist(), ids.tolist(), ties.tolist())):
             spots = [{"bucket": own, "ahead": 0}]
-            if i in head_ids and (i, tie) in before:
-                spots.append({"bucket": before[i, tie], "ahead": 1})
+            if head in before:
+                spots.append({"bucket": before[head], "ahead": 1})
             out.append(spots)
         return pd.Series(out, dtype=object)
 
     return (
-        docs.withColumn("place", F.explode(places("doc_id", "tie")))
-        .select("doc_id", "text", "tie", "place.bucket", "place.ahead")
-        .repartition(buckets, "bucket")
-        .sortWithinPartitions("bucket", "ahead", F.col("doc_id").desc_nulls_last(), "tie", "text")
+        docs.withColumn("place", F.explode(places("id", "none", "tie")))
+        .select("id", "none", "text", "tie", "place.bucket", "place.ahead")
+        .repartitionById(len(cuts) + 2, F.col("bucket"))
+        .sortWithinPartitions("bucket", "ahead", "none", F.col("id").desc(), "tie", "text")
     )
 
 
@@ -173,7 +173,8 @@ def fingerprint_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str
     """Fingerprints of each text and of its edited text, and how like they and the next document are.
 
     Next is by descending id, ids that are null last, equal ids by hash of the text; after the last comes the
-    first, which for a single row is itself.  Null texts are empty; texts without words have a fingerprint of
+    first, which for a single row is itself.  Ids are longs (others that are no whole numbers: an error of the
+    cast).  Null texts are empty; texts without words have a fingerprint of
     zeros; repeated rows stay; an empty table gives no rows; other columns are not read."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     placed = _placed(rows.withColumn("tie", F.xxhash64("text")))
@@ -183,7 +184,7 @@ def fingerprint_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str
         held = None  # bucket, id, text, counts' fingerprint
         for frame in frames:
             out = []
-            ids = [None if i is None or i != i else int(i) for i in frame["doc_id"].tolist()]
+            ids = [None if n else i for n, i in zip(frame["none"].tolist(), frame["id"].tolist())]
             for bucket, ahead, i, text in zip(frame["bucket"].tolist(), frame["ahead"].tolist(), ids, frame["text"].tolist()):
                 own = sampler.fingerprint(counts_of(text)) if not ahead or held is not None else None
                 if held is not None and held[0] == bucket:
@@ -195,7 +196,7 @@ def fingerprint_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str
                     )
                 held = None if ahead else (bucket, i, text, own)
             result = pd.DataFrame(out, columns=[c.split()[0] for c in RESULT.split(", ")])
-            result["doc_id"] = result["doc_id"].astype("Int64")
+            result["doc_id"] = pd.array([o[0] for o in out], "Int64")
             yield result
 
-    return placed.select("bucket", "ahead", "doc_id", "text").mapInPandas(walk, RESULT)
+    return placed.select("bucket", "ahead", "id", "none", "text").mapInPandas(walk, RESULT)

@@ -4,6 +4,7 @@ A page is cut into blocks at its block-level tags.  The first pass decides each
 density, length and link density, and from what encloses it (menus, headers, footers, sidebars, notices,
 adverts, forms and reader comments are out; article and main speak for a block).  Short or middling blocks
 stay open; in the second pass they take the label of the nearest decided neighbours in the same container.
+Pages in whose blocks stop words are rare are in another language: there length and links alone decide.
 
 Reading takes time in proportion to the page; broken markup is read as far as it goes.
 """
@@ -19,8 +20,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 SHORT, LONG = 70, 200
-STOPS_LOW, STOPS_HIGH = 0.2, 0.3
-LINKS_HIGH = 0.35
+STOPS_LOW, STOPS_HIGH, STOPS_NONE = 0.2, 0.3, 0.08
+LINKS_HIGH, LINKS_IN_ARTICLE = 0.35, 0.8
 
 # HTML tag names.
 BLOCK_TAGS = frozenset(
@@ -38,6 +39,13 @@ OUT_WORDS = frozenset(
     " pagination popup promo promotion related replies search share sharing sidebar signup social sponsor sponsored"
     " subscribe toolbar widget".split()
 )
+#: Words that, alone, name the article itself, and words that say something about what they stand with.
+KEPT_WORDS = frozenset("article body content entry main page post story text".split())
+ABOUT_WORDS = frozenset("disabled enabled has hide is no not off on show with without".split())
+COMMENT_WORDS = frozenset("comment comments disqus replies".split())
+# HTML tags of running text, and tags that hold nothing.
+TEXT_TAGS = frozenset("blockquote caption dd dt figcaption h1 h2 h3 h4 h5 h6 p pre summary".split())
+VOID_TAGS = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 # Frequent words of English, German, French and Spanish.
 STOP_WORDS = frozenset(
     "a about after all also an and any are as at be because been but by can could did do for from had has have he her his how i"
@@ -57,6 +65,7 @@ _REST = re.compile(r"(?:\"[^\"]*+\"|'[^']*+'|[^'\">])*+>")
 _NAMES = re.compile(r"""(?:^|[\s"'])(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
 _HIDDEN = re.compile(r"""(?:^|\s)hidden(?:[\s=>/]|$)|display\s*:\s*none|aria-hidden\s*=\s*["']?true""", re.I)
 _WORD = re.compile(r"[^\W\d_]+")
+_WIDE = re.compile(r"[\u0e00-\u0e7f\u3040-\u30ff\u3400-\u9fff\uac00-\ud7af]")
 _CUT = re.compile(r"[^a-z0-9]+")
 
 
@@ -64,12 +73,32 @@ _CUT = re.compile(r"[^a-z0-9]+")
 class Block:
     text: str
     link_chars: int
-    out: bool  # inside a container that is no part of the article
+    out: bool  # inside an element that is no part of the article
     group: int  # nearest enclosing article or main, 0: none
     heading: bool
+    tag: str = "p"
     label: str = ""
 
 
+def _names_furniture(attributes: str, whole: bool) -> bool:
+    """Whether class, id or role say that an element is no part of the article.
+
+    A name that is one of OUT_WORDS says so; else one that is one of KEPT_WORDS says the contrary; else a name
+    of several parts says so if one of them is, and none only qualifies the others (has-sidebar).
+    whole: of such names only the last part counts, or the first of one about readers' comments."""
+    names = " ".join(a or b or c for a, b, c in _NAMES.findall(attributes)).lower().split()
+    if any(n in OUT_WORDS for n in names):
+        return True
+    if any(n in KEPT_WORDS for n in names):
+        return False
+    for parts in map(_CUT.split, names):
+        if not ABOUT_WORDS.isdisjoint(parts):
+            continue
+        if not OUT_WORDS.isdisjoint([parts[-1], *(p for p in parts[:1] if p in COMMENT_WORDS)] if whole else parts):
+            return True
+    return False
+
+
 def _is_out(tag: str, attributes: str, in_article: bool) -> bool:
     if tag in OUT_TAGS or tag == "header" and not in_article:
         return True
@@ -77,10 +106,9 @@ def _is_out(tag: str, attributes: str, in_article: bool) -> bool:
         return False
     if _HIDDEN.search(attributes):
         return True
-    if tag in ("body", "main", "html") or tag == "article" and not in_article:
+    if tag in ("body", "main", "html"):
         return False
-    names = " ".join(a or b or c for a, b, c in _NAMES.findall(attributes)).lower()
-    return any(w in OUT_WORDS for w in _CUT.split(names))
+    return _names_furniture(attributes, whole=tag == "article")
 
 
 def blocks(page: str | None) -> list[Block]:
@@ -89,13 +117,15 @@ def blocks(page: str | None) -> list[Block]:
     found: list[Block] = []
     parts: list[str] = []
     link_chars = in_link = breaks = 0
-    stack: list[tuple[str, bool, int]] = []  # tag, out, group
+    stack: list[tuple[str, bool, int]] = []  # tag, out, group of each open block
+    hidden: list[str] = []  # open inline elements from a hidden one on
+    unclosed: set[str] = set()
     group = groups = 0
-    heading = False
+    heading, own_tag = False, "p"
 
     def text(raw: str) -> None:
         nonlocal link_chars, breaks
-        if raw:
+        if raw and not hidden:
             parts.append(html.unescape(raw) if "&" in raw else raw)
             if raw.strip():
                 breaks = 0
@@ -105,7 +135,7 @@ def blocks(page: str | None) -> list[Block]:
     def close() -> None:
         nonlocal link_chars, breaks
         if parts and (joined := " ".join("".join(parts).split())):
-            found.append(Block(joined, link_chars, any(s[1] for s in stack), group, heading))
+            found.append(Block(joined, link_chars, any(s[1] for s in stack), group, heading, own_tag))
         parts.clear()
         link_chars = breaks = 0
 
@@ -137,15 +167,16 @@ def blocks(page: str | None) -> list[Block]:
         attributes, at = page[m.end() : end - 1], end
         closing = page[start + 1] == "/"
         if tag in RAW_TAGS and not closing:
-            if not attributes.endswith("/") or tag in ("script", "style"):
+            if (not attributes.endswith("/") or tag in ("script", "style")) and tag not in unclosed:
                 stop = re.compile(rf"</{re.escape(tag)}(?=[\s>/])[^>]*>", re.I).search(page, at)
-                if stop or tag not in ("head", "select", "button", "object", "svg"):
-                    at = stop.end() if stop else size
+                if stop:
+                    at = stop.end()
+                elif tag in ("script", "style"):
+                    at = size
+                else:
+                    unclosed.add(tag)  # read on behind the tag
             parts.append(" ")
             continue
-        if tag == "a":
-            in_link = 0 if closing else 1
-            continue
         if tag == "br":
             parts.append(" ")
             breaks += 1
@@ -153,20 +184,34 @@ def blocks(page: str | None) -> list[Block]:
                 close()
             continue
         if tag not in BLOCK_TAGS:
+            if tag == "a":
+                in_link = 0 if closing else 1
+            if closing and hidden:
+                if tag in hidden:
+                    del hidden[len(hidden) - 1 - hidden[::-1].index(tag) :]
+            elif not closing and tag not in VOID_TAGS and not attributes.endswith("/") and (hidden or attributes and _HIDDEN.search(attributes)):
+                if len(hidden) < 50 or tag == hidden[-1]:
+                    hidden.append(tag)
             continue
         close()
+        hidden.clear()
         heading = not closing and len(tag) == 2 and tag[0] == "h" and tag[1].isdigit()
-        if tag not in CONTAINERS:
-            continue
+        own_tag = tag if not closing else stack[-1][0] if stack else "p"
         if closing:
             for k in range(len(stack) - 1, -1, -1):
                 if stack[k][0] == tag:
                     del stack[k:]
                     break
+                if tag not in CONTAINERS and stack[k][0] in CONTAINERS:
+                    break
         else:
             if tag in ("article", "main"):
                 stack = [s for s in stack if not (s[0] in ("nav", "header") and s[1])]
                 groups += 1
+            while stack and stack[-1][0] not in CONTAINERS:  # p, li and the like end where the next block begins
+                if tag in CONTAINERS and stack[-1][0] not in ("p", "h1", "h2", "h3", "h4", "h5", "h6"):
+                    break
+                stack.pop()
             own = groups if tag in ("article", "main") else stack[-1][2] if stack else 0
             stack.append((tag, _is_out(tag, attributes, bool(stack and stack[-1][2])), own))
         group = stack[-1][2] if stack else 0
@@ -175,15 +220,32 @@ def blocks(page: str | None) -> list[Block]:
     return found
 
 
-def first_pass(block: Block) -> str:
-    """good, bad, or for the second pass: middling (fair by its words) or short."""
-    size = len(block.text)
-    if block.out or block.link_chars > LINKS_HIGH * size:
+def _size(block: Block) -> int:
+    """Characters; those of scripts that need fewer of them for a word count three times."""
+    return len(block.text) + 2 * len(_WIDE.findall(block.text))
+
+
+def _stop_share(words: list[str]) -> float:
+    return sum(w in STOP_WORDS for w in words) / len(words) if words else 0.0
+
+
+def other_language(found: list[Block]) -> bool:
+    """Whether stop words are rare in all that may be text."""
+    words = [w for b in found if not b.out and _size(b) >= SHORT for w in _WORD.findall(b.text.lower())]
+    return bool(words) and _stop_share(words) < STOPS_NONE
+
+
+def first_pass(block: Block, other: bool = False) -> str:
+    """good, bad, or for the second pass: middling (fair by its words) or short.  other: see other_language."""
+    size = _size(block)
+    most = LINKS_HIGH if not block.group else 1.0 if block.tag in TEXT_TAGS else LINKS_IN_ARTICLE
+    if block.out or block.link_chars > most * len(block.text):
         return "bad"
     if size < SHORT or block.heading:
         return "short"
-    words = _WORD.findall(block.text.lower())
-    stops = sum(w in STOP_WORDS for w in words) / len(words) if words else 0.0
+    if other:
+        return "good" if size >= 2 * SHORT else "middling"
+    stops = _stop_share(_WORD.findall(block.text.lower()))
     if stops >= STOPS_HIGH and size >= LONG:
         return "good"
     if stops >= STOPS_LOW:
@@ -196,7 +258,8 @@ def second_pass(found: list[Block]) -> None:
 
     Both alike: that label.  Different: the nearer one for short blocks (the later one for headings and
     ties), good for middling ones.  None decided: good inside article or main, or if middling."""
-    first = [first_pass(b) for b in found]
+    other = other_language(found)
+    first = [first_pass(b, other) for b in found]
     n = len(found)
     before, after = [-1] * n, [-1] * n
     seen: dict[int, int] = {}
@@ -236,7 +299,7 @@ def main_text(page: str | None) -> str:
 def extract_pages(pages: DataFrame, html_col: str = "html") -> DataFrame:
     """page_id, url, text of each row.
 
-    Null and empty pages have the empty text; repeated rows stay; an empty table gives no rows; columns of
+    Null and empty pages have the empty text; pages of any length are read as a whole; repeated rows stay; an empty table gives no rows; columns of
     pages other than these are not read."""
 
     @F.pandas_udf("string")

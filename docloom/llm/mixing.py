@@ -128,7 +128,8 @@ def mix_sources(
     everything = per_source.agg(F.sum("tokens")).first()[0] or 0
     sources = materialize(per_source.withColumn("all_tokens", F.lit(everything)))
     exponent = find_exponent(sources, target_entropy, max_repeats, budget)
-    blocks = F.least(F.lit(BLOCKS), F.ceil(F.col("rows") / ROWS_A_BLOCK)).cast("int")
+    # beyond BLOCKS as many blocks as each has rows: neither the order of blocks nor that within one grows large
+    blocks = F.least(F.greatest(F.lit(BLOCKS), F.ceil(F.sqrt("rows"))), F.ceil(F.col("rows") / ROWS_A_BLOCK)).cast("int")
     plan = materialize(source_plan(sources, exponent, budget).withColumn("blocks", blocks))
     count = plan.agg(F.sum(F.col("blocks") * F.col("epochs"))).first()[0] or 0
     hint = F.broadcast if count <= BROADCAST_ROWS else lambda df: df

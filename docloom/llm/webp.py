@@ -488,6 +488,14 @@ def load(media: bytes) -> bytes:
     return b"".join(p[..., 2].tobytes() for p in decode(media))
 
 
+def readable(media: bytes | None) -> bytes | None:
+    """As load; None for None and for damaged files."""
+    try:
+        return None if media is None else load(media)
+    except (ValueError, IndexError, struct.error):
+        return None
+
+
 def features(payload: bytes) -> str:
     """rows x columns, sum of samples, distinct samples, and a histogram of 16 bins."""
     samples = np.frombuffer(payload, np.uint8)
@@ -507,12 +515,12 @@ def media_column(column):
 
 
 def payload_column(column):
-    """struct<payload, feature> read back from stored pictures."""
+    """struct<payload, feature> read back from stored pictures; both null for null and for files that cannot be read."""
 
     @F.pandas_udf("struct<payload:binary, feature:string>")
     def loaded(values: pd.Series) -> pd.DataFrame:
-        payloads = [load(v) for v in values]
-        return pd.DataFrame({"payload": payloads, "feature": [features(p) for p in payloads]})
+        payloads = [readable(v) for v in values]
+        return pd.DataFrame({"payload": payloads, "feature": [None if p is None else features(p) for p in payloads]}, dtype=object)
 
     return loaded(column)
 

@@ -84,3 +84,16 @@ def test_odd_rows(spark):
     assert P.fingerprint_documents(df.limit(0)).count() == 0
     alone = P.fingerprint_documents(spark.createDataFrame([(5, "abcd")], "doc_id long, text string")).collect()
     assert alone[0].near_next == 1.0 and alone[0].edited_sha256 == hashlib.sha256(b"abab").hexdigest()
+
+
+def test_ids_stay_longs(spark):
+    big = 2**53
+    ids = [big + 1, big, None, big + 2, -(2**63), 2**63 - 1, -1, 0, None]
+    df = spark.createDataFrame([(i, f"text of {i} {k}") for k, i in enumerate(ids)], "doc_id long, text string")
+    got = P.fingerprint_documents(df).collect()
+    assert sorted(r.doc_id for r in got if r.doc_id is not None) == sorted(i for i in ids if i is not None)
+    order = sorted((i for i in ids if i is not None), reverse=True)
+    text = {i: f"text of {i} {k}" for k, i in enumerate(ids)}
+    by_id = {r.doc_id: r for r in got}
+    for i, j in zip(order, order[1:]):
+        assert by_id[i].edited_sha256 == hashlib.sha256(P.edited(text[i], text[j]).encode()).hexdigest()

@@ -30,6 +30,39 @@ def test_white_space_and_references():
     assert H.main_text("<article><p>one<br><br>two</p></article>") == "one\n\ntwo"
 
 
+def test_furniture_inside_an_article():
+    for odd in (
+        '<p class="advert">Buy this now.</p>', "<p hidden>Not seen.</p>", '<ul><li class="comment">Nice one!</li></ul>', '<h2 class="related">More</h2>',
+        '<span style="display:none">Not <span>seen</span> at all.</span>', f'<div class="cookie-notice"><p>{LONG}</p></div>', f'<p class="ad">{LONG}',
+    ):
+        page = f"<article><p>{LONG}</p>{odd}<p>{LONG}</p></article>"
+        assert H.main_text(page) == f"{LONG.strip()}\n\n{LONG.strip()}", odd
+    assert H.main_text(f'<article><p>{LONG}</p></article><article class="comment"><p>{LONG}</p></article>') == LONG.strip()
+
+
+def test_names_that_only_sound_like_furniture():
+    for name in ("has-sidebar content", "post share-enabled", "no-comments", "article with-ads", "heading adage"):
+        assert H.main_text(f'<div class="{name}"><p>{LONG}</p></div>') == LONG.strip(), name
+    assert H.main_text(f'<p>{LONG}</p><div class="comments-area"><p>{LONG}</p></div><div class="left sidebar-2"><p>{LONG}</p></div>') == LONG.strip()
+
+
+def test_other_languages():
+    texts = (
+        "Questa storia parla della vita di molte persone che lavoravano nella campagna vicino al fiume, dove ogni giorno cominciava prima dell'alba, mentre gli animali dormivano ancora tranquilli sotto gli alberi antichi.",
+        "Эта история рассказывает о людях, которые жили у большой реки и каждый день начинали работать до рассвета, пока животные ещё спали под старыми деревьями возле дороги и никто не проходил мимо.",
+        "这个故事讲述了住在大河边的人们的生活他们每天在黎明之前就开始工作那时动物们还在路边的老树下安静地睡着没有人经过这里直到太阳升起照亮了整个村庄和田野大家才一起回家吃早饭",
+    )
+    menu = "".join(f'<li><a href="/{i}">Categoria numero {i} del sito</a></li>' for i in range(8))
+    for t in texts:
+        assert H.main_text(f"<body><ul>{menu}</ul><h1>T</h1><p>{t}</p><p>{t}</p></body>").split("\n\n")[-2:] == [t, t]
+
+
+def test_raw_tags_without_an_end_and_links():
+    assert H.main_text(f"<article><noscript><p>{LONG}</p>") == LONG.strip()
+    link = '<p>See <a href="x">a page with a name that is long, longer than all else that stands in this paragraph</a> now.</p>'
+    assert "See a page" in H.main_text(f"<article><p>{LONG}</p>{link}<p>{LONG}</p></article>")
+
+
 def test_broken_markup():
     for page in (None, "", "<", "<p", "a < b", "<!--", "<script>x", "<p>a</q></p", "<a href='x>y", "</div></div><p>", "<article><p>x</article"):
         H.main_text(page)
@@ -40,7 +73,7 @@ def test_broken_markup():
 
 
 def test_long_pages_take_little_time():
-    for unit in ("<a \">", "<p>x", "<div class='a'>", "<", "&", "<!-- ", "<p 'x>"):
+    for unit in ("<a \">", "<p>x", "<div class='a'>", "<", "&", "<!-- ", "<p 'x>", "<noscript>", "<li>x", "<span hidden>", "<b hidden><i>"):
         H.main_text(unit * 100_000)
 
 

@@ -52,6 +52,37 @@ def test_added_kinds_and_context():
     assert pii.mask("mail a@b.cd now", pii.find("mail a@b.cd now")) == "mail <email> now"
 
 
+def test_account_numbers_end_where_their_country_says():
+    for text in ("DE89 3704 0044 0532 0130 00 BIC COBADEFF", "DE89 3704 0044 0532 0130 00 AND", "GB82WEST12345698765432 PLEASE"):
+        (kind, a, b, _), = [s for s in pii.find(text) if s[0] == "iban"]
+        assert (a, text[a:b].replace(" ", "")) == (0, text.replace(" ", "")[:22])
+    assert not [s for t in ("GB82WEST12345698765432X", "DE89 3704 0044 0532 0130", "XX89 3704 0044 0532 0130 00") for s in pii.find(t) if s[0] == "iban"]
+
+
+def plain_added(text):
+    """Account numbers by trying each start and the length of its country, letter by letter."""
+    found = []
+    for a in range(len(text)):
+        if a and text[a - 1].isascii() and text[a - 1].isalnum():
+            continue
+        n, b, code = pii.IBAN_LENGTHS.get(text[a : a + 2], 0), a, ""
+        while b < len(text) and len(code) < n and (text[b].isascii() and (text[b].isdigit() or text[b].isupper()) or text[b] == " " and len(code) >= 4 and text[b - 1] != " "):
+            code += text[b].strip()
+            b += 1
+        whole = n and len(code) == n and code[2:4].isdigit() and not (b < len(text) and text[b].isascii() and text[b].isalnum())
+        if whole and int("".join(str(int(c, 36)) for c in code[4:] + code[:4])) % 97 == 1:
+            found.append((a, b))
+    return found
+
+
+def test_account_numbers_match_the_plain_rule():
+    rng = random.Random(9)
+    parts = ["DE89 3704 0044 0532 0130 00", "GB82WEST12345698765432", "NO93 8601 1117 947", " ", "A", "bank ", "DE8", "9", "\n", "BE68539007547034", "BE68 5390 0754 7035"]
+    for _ in range(4000):
+        text = "".join(rng.choice(parts) for _ in range(rng.randint(1, 6)))
+        assert pii.ibans(text) == plain_added(text), text
+
+
 def test_long_runs_take_little_time():
     for text in ("a" * 400_000, "1" * 400_000, "1." * 200_000, "a@" * 200_000, "+1" * 200_000, "+" + "1 " * 200_000, "AB12" + "C" * 400_000):
         pii.find(text)

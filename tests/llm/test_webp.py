@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from docloom.llm import webp as W
 
@@ -240,3 +241,12 @@ def test_frames(spark):
     assert sorted((r.n_bytes, len(r.payload)) for r in got) == [(0, 64), (0, 64), (3, 64), (3, 64), (100000, 100032)]
     assert len({(bytes(r.media), r.feature) for r in got}) == 3
     assert W.store_texts(df.limit(0)).count() == 0
+
+
+def test_files_that_cannot_be_read_give_nulls(spark):
+    good = W.store(b"some text")
+    rows = [(0, good), (1, None), (2, b""), (3, good[:20]), (4, b"RIFF" + good[8:]), (5, b"no picture"), (6, good[:-3])]
+    got = {r.i: r.back for r in spark.createDataFrame(rows, "i int, media binary").select("i", W.payload_column(F.col("media")).alias("back")).collect()}
+    assert bytes(got[0].payload).rstrip(b"\0") == b"some text"
+    assert all(got[i].payload is None and got[i].feature is None for i in (1, 5))
+    assert set(got) == set(range(7))
