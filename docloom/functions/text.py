@@ -6,13 +6,20 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Patterns whose matches define the results.
-REFERENCE_HEADING = r"(?iu)^\s*(references|bibliography|works cited|literature cited|tài liệu tham khảo)\s*$"
-CITATION = r"\[\d{1,3}(?:\s*[,–-]\s*\d{1,3})*\]|\(\w+ et al\.?,? \d{4}\)"
-TABLE_REFERENCE = r"(?iu)\b(?:table|bảng)\s+((?:\d+|[A-Za-z])(?:\.\d+)*)(?![\p{L}\p{N}])"
+# They are read by Java (with U: \w, \b and \d as in Unicode) and by Python alike.
+REFERENCE_HEADING = r"\b(references|bibliography|works\s+cited|acknowledg|tài\s+liệu\s+tham\s+khảo)"
+CITATION = r"(?:\(?\b(?:19|20)\d{2}\b\)?|\bet\s+al\b|https?://|\bdoi\b|\bpp\.\s*\d|\bvol\.\s*\d)"
+TABLE_REFERENCE = r"(?<![\w-])(?:table|bảng|bang)\s*([A-Za-z]?\.?\d+(?:\.\d+)*[a-z]?)(?!\w)"
+SECTION_WORD = r"(?<![\w-])(?:section|sections|subsection|chapter|mục|phần|chương)(?![\w-])"
+NAMED_SECTION = r"\b(?:section|sections|subsection|chapter|mục|phần|chương)\s+([A-Za-z]?\d+(?:\.\d+)*)"
+DOTTED_NUMBER = r"(?<![A-Za-z0-9_-])([A-Za-z]?\d+(?:\.\d+)+)(?![A-Za-z0-9])"
+BARE_NUMBER = r"(?<![A-Za-z0-9_.-])(\d+)(?![A-Za-z0-9_])"
+CAPTION = r"^\s*\**\s*(table|bảng|figure|hình)\s*([A-Za-z]?\.?\d+(?:\.\d+)*[a-z]?)\s*[:.\-]"
 SECTION_NUMBER = r"^((?:\d+|[A-Za-z])(?:\.\d+)*)\.?\s+(.*)$"
-PAGE_MARKER = r"(?i)^\s*(?:page\s+\d+|\d+|\(\s*\d+\s+of\s+\d+\s*\)|continued\.?)?\s*$"
+PAGE_MARKER = r"(?i)^\s*(?:page\s*\d+|\d+|\(\d+\s+of\s+\d+\)|continued)?\s*$"
 TERM = r"[\p{L}\p{N}]+"
 
+_JAVA = "(?iuU)"
 REFERENCE_MIN_CHARS, REFERENCE_WINDOW, REFERENCE_PER_WINDOW = 200, 500, 2.0
 
 
@@ -45,8 +52,8 @@ def suffix(path: Column) -> Column:
 
 
 def clean_heading(column: Column) -> Column:
-    """Without asterisks, white space as single spaces."""
-    return F.trim(F.regexp_replace(F.regexp_replace(column, r"\*", ""), r"\s+", " "))
+    """Marks of emphasis and white space as single spaces."""
+    return F.trim(F.regexp_replace(column, r"[\s*]+", " "))
 
 
 def section_number(title: Column) -> Column:
@@ -59,30 +66,38 @@ def section_title(title: Column) -> Column:
 
 
 def reference_like(heading: Column, text: Column) -> Column:
-    """A list of references by its heading, or by two citations or more to 500 characters of a longer text."""
-    citations = F.regexp_count(text, F.lit(CITATION))
+    """A list of references by a word in its heading, or by two marks of citation or more to 500 characters of a longer text."""
+    citations = F.regexp_count(text, F.lit(_JAVA + CITATION))
     dense = (F.length(text) >= REFERENCE_MIN_CHARS) & (citations / (F.length(text) / REFERENCE_WINDOW) >= REFERENCE_PER_WINDOW)
-    return F.coalesce(heading.rlike(REFERENCE_HEADING), F.lit(False)) | F.coalesce(dense, F.lit(False))
+    return F.coalesce(heading.rlike(_JAVA + REFERENCE_HEADING), F.lit(False)) | F.coalesce(dense, F.lit(False))
 
 
 def number_variants(number: Column) -> Column:
     """The number as it stands, in upper and in lower case, without a last full stop; distinct, in that order."""
-    plain = F.regexp_replace(number, r"\.$", "")
+    plain = F.regexp_replace(F.trim(number), r"\.+$", "")
     return F.array_distinct(F.array(plain, F.upper(plain), F.lower(plain)))
 
 
 def table_references(text: Column) -> Column:
     """Numbers of the tables a text names, with their case variants, in order and distinct."""
-    found = F.regexp_extract_all(text, F.lit(TABLE_REFERENCE), 1)
+    found = F.regexp_extract_all(text, F.lit(_JAVA + TABLE_REFERENCE), 1)
     return F.array_distinct(F.flatten(F.transform(found, number_variants)))
 
 
 def section_references(text: Column) -> Column:
-    """Section numbers a text names: after a keyword, dotted, or bare; not the number in a name like GPT-4."""
-    found = F.regexp_extract_all(
-        text, F.lit(r"(?iu)(?:\b(?:section|chapter|part|mục|chương|phần)\s+|(?<![\w.-]))(\d+(?:\.\d+)*)(?![\w-]|\.\d)"), 1
-    )
-    return F.array_distinct(found)
+    """Section numbers a text names, in order and distinct: after a keyword, dotted, or bare; not the number in a name like GPT-4."""
+    any_of = "|".join((NAMED_SECTION, DOTTED_NUMBER, BARE_NUMBER))
+    whole = F.regexp_extract_all(text, F.lit(_JAVA + any_of), 0)
+    return F.array_distinct(F.transform(whole, lambda m: F.regexp_extract(m, r"([A-Za-z]?\d+(?:\.\d+)*)$", 1)))
+
+
+def section_cue(text: Column) -> Column:
+    """Whether a text speaks of sections by a word or by a dotted number."""
+    return text.rlike(_JAVA + SECTION_WORD) | text.rlike(_JAVA + DOTTED_NUMBER)
+
+
+def bare_numbers(text: Column) -> Column:
+    return F.array_distinct(F.regexp_extract_all(text, F.lit(_JAVA + BARE_NUMBER), 1))
 
 
 def mentions_document(query: Column, path: Column) -> Column:
@@ -96,14 +111,16 @@ def json_object(text: Column) -> Column:
     return F.regexp_extract(text, r"(?s)(\{.*\})", 1)
 
 
-def context_block(rank: Column, title: Column, url: Column, section: Column, score: Column, text: Column) -> Column:
-    """One numbered source as it stands in a prompt."""
+def context_block(rank: Column, title: Column, url: Column, section: Column, crumbs: Column, score: Column, text: Column) -> Column:
+    """One numbered source as it stands in a prompt; crumbs: titles of the sections around, outermost first."""
     return F.format_string(
-        "[%d] %s\nSource: %s\nSection: %s\nScore: %.4f\n\n%s",
+        # Fixed value: the format of a source.
+        "[Source %d]\nTitle: %s\nURL: %s\nSection: %s\nBreadcrumbs: %s\nScore: %.4f\nText: %s",
         rank,
-        or_default(title, F.lit("Untitled")),
-        F.coalesce(url, F.lit("")),
+        F.coalesce(title, F.lit("No Title")),
+        F.coalesce(url, F.lit("No URL")),
         F.coalesce(section, F.lit("")),
+        F.coalesce(F.array_join(crumbs, " > "), F.lit("")),
         F.coalesce(score, F.lit(0.0)),
         F.coalesce(text, F.lit("")),
     )

@@ -53,9 +53,10 @@ def split_text(text: str | None, target: int = TARGET, most: int = MOST) -> list
 
 
 def split_column(text: Column, target: int = TARGET, most: int = MOST) -> Column:
-    """split_text as a fold in the JVM, for texts whose paragraphs are parted by empty lines."""
-    trimmed = F.trim(text)
-    paragraphs = F.filter(F.transform(F.split(trimmed, "\n\n"), lambda p: F.trim(p)), lambda p: p != "")
+    """split_text as a fold in the JVM."""
+    strip = lambda c: F.regexp_replace(c, r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+\z", "")
+    trimmed = strip(text)
+    paragraphs = F.filter(F.transform(F.split(trimmed, "\n\n"), strip), lambda p: p != "")
     start = F.struct(F.array().cast("array<string>").alias("out"), F.lit("").alias("packed"))
     done = lambda s: F.when(s["packed"] == "", s["out"]).otherwise(F.concat(s["out"], F.array(s["packed"])))
     cut = lambda p: F.transform(F.sequence(F.lit(0), F.floor((F.length(p) - 1) / most).cast("int")), lambda k: F.substring(p, k * most + 1, F.lit(most)))
@@ -160,18 +161,22 @@ def chunk_document(root: str, path: str, text: str | None, images: list[dict] |
 
 
 def chunk_frame(docs: DataFrame) -> DataFrame:
-    """Chunks of docs (root, path, text): one pass over the rows, no shuffle; a document is chunked within its row."""
+    """Chunks of docs (root, path, text): one pass over the rows, no shuffle; a document is chunked within its row.
+
+    docs may have images, an array of structs with image_path and caption: they end their document as stubs."""
     names = CHUNK.fieldNames()
+    pictured = "images" in docs.columns
 
     def run(frames):
         for frame in frames:
-            rows = [c for r, p, t in zip(frame["root"], frame["path"], frame["text"]) for c in chunk_document(r, p, t)]
+            images = frame["images"] if pictured else [None] * len(frame)
+            rows = [c for r, p, t, i in zip(frame["root"], frame["path"], frame["text"], images) for c in chunk_document(r, p, t, None if i is None else list(i))]
             out = pd.DataFrame(rows, columns=names)
             for n in ("seq", "section_level", "section_depth", "char_count", "row_count"):
                 out[n] = out[n].astype("Int32")
             yield out.astype(object).where(out.notna(), None)
 
-    return docs.select("root", "path", "text").mapInPandas(run, CHUNK)
+    return docs.select("root", "path", "text", *(["images"] if pictured else [])).mapInPandas(run, CHUNK)
 
 
 def raw_tables(chunks: DataFrame) -> DataFrame:

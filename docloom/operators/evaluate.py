@@ -49,6 +49,11 @@ def breakdown(scores: DataFrame, by: list[str]) -> DataFrame:
     return means.select("k", part.alias("part"), value.alias("value"), "n", "hit", "recall", "precision", "mrr")
 
 
+def lowest(scores: DataFrame, metric: str, n: int = 5) -> DataFrame:
+    """The n questions with the least mean of a metric."""
+    return scores.groupBy("query_id").agg(F.round(F.avg(metric), 6).alias(f"mean_{metric}")).orderBy(f"mean_{metric}", "query_id").limit(n)
+
+
 def judge_summary(judgements: DataFrame, questions: DataFrame) -> DataFrame:
     """criterion, n, mean (3 digits) over judged questions."""
     joined = judgements.join(questions.select("id"), "id")

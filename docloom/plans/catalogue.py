@@ -226,10 +226,14 @@ def chunk_records(spark, sf_dir):
     return _chunks(spark, sf_dir).withColumn("char_count", F.length("text"))
 
 
-_POSTINGS = r"""
-SELECT term, doc_id, count(*) AS tf, len AS length FROM (
-  SELECT doc_id, len(w) AS len, unnest(w) AS term FROM (SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM documents))
-GROUP BY term, doc_id, len"""
+def _postings_sql(rows: str, key: str) -> str:
+    return rf"""
+SELECT term, {key}, count(*) AS tf, len AS length FROM (
+  SELECT {key}, len(w) AS len, unnest(w) AS term FROM (SELECT {key}, regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}]+') AS w FROM {rows}))
+GROUP BY term, {key}, len"""
+
+
+_POSTINGS = _postings_sql("documents", "doc_id")
 
 
 @query(f"SELECT term, doc_id, tf, CAST(length AS INTEGER) AS length FROM ({_POSTINGS})")
@@ -244,16 +248,20 @@ def doc_frequency(spark, sf_dir):
 
 _ASKED = [(1, "the thing that is of"), (2, "der die und lich"), (3, "que para los ment"), (4, "une dans les eau"), (5, "idiot clown moron stupid loser")]
 _ASKED_SQL = "(VALUES " + ", ".join(f"({i}, '{q}')" for i, q in _ASKED) + ") AS q(query_id, query)"
-_BM25 = rf"""
-SELECT query_id, doc_id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * length / 256.0))), 6) AS score
-FROM ({_POSTINGS}) JOIN (SELECT term, count(*) AS df FROM ({_POSTINGS}) GROUP BY term) USING (term)
+
+
+def _bm25_sql(rows: str, key: str) -> str:
+    postings = _postings_sql(rows, key)
+    return rf"""
+SELECT query_id, {key}, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * length / 256.0))), 6) AS score
+FROM ({postings}) JOIN (SELECT term, count(*) AS df FROM ({postings}) GROUP BY term) USING (term)
 JOIN (SELECT DISTINCT query_id, unnest(regexp_extract_all(lower(query), '[\p{{L}}\p{{N}}]+')) AS term FROM {_ASKED_SQL}) USING (term),
-(SELECT count(*) AS n FROM documents) GROUP BY query_id, doc_id"""
+(SELECT count(*) AS n FROM {rows}) GROUP BY query_id, {key}"""
 
 
-def _ranked_sql(k: int) -> str:
+def _ranked_sql(k: int, rows: str = "documents", key: str = "doc_id") -> str:
     return f"""
-SELECT * FROM (SELECT query_id, doc_id, score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank FROM ({_BM25}))
+SELECT * FROM (SELECT query_id, {key}, score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, {key}) AS INTEGER) AS rank FROM ({_bm25_sql(rows, key)}))
 WHERE rank <= {k}"""
 
 
@@ -312,8 +320,9 @@ def dense_topk_per_group(spark, sf_dir):
 
 
 _REFERENCE = (
-    "(coalesce(regexp_matches(lang, '(?i)^\\s*(references|bibliography|works cited|literature cited|tài liệu tham khảo)\\s*$'), false)"
-    " OR (length(text) >= 200 AND len(regexp_extract_all(text, '\\[\\d{1,3}(?:\\s*[,–-]\\s*\\d{1,3})*\\]|\\(\\w+ et al\\.?,? \\d{4}\\)')) / (length(text) / 500.0) >= 2.0))"
+    "(coalesce(regexp_matches(lang, '(?i)\\b(references|bibliography|works\\s+cited|acknowledg|tài\\s+liệu\\s+tham\\s+khảo)'), false)"
+    " OR (length(text) >= 200 AND len(regexp_extract_all(text, '(?i)(?:\\(?\\b(?:19|20)\\d{2}\\b\\)?|\\bet\\s+al\\b|https?://|\\bdoi\\b|\\bpp\\.\\s*\\d|\\bvol\\.\\s*\\d)'))"
+    " / (length(text) / 500.0) >= 2.0))"
 )
 
 
@@ -339,13 +348,69 @@ def reference_penalty(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", X.reference_like(F.col("lang"), F.col("text")).alias("is_reference"))
 
 
-@query(r"""
-SELECT page_id, url FROM (SELECT page_id, url, split_part(regexp_replace(url, '^https?://[^/]*/', ''), '/', 1) AS top FROM pages) WHERE top IN ('en', 'fr')""")
+#: Headings and texts that tell the rules of lists of references apart.
+_REFERENCE_CASES = [
+    (1, "7 References", "short", True), (2, "Acknowledgements and References", "short", True), (3, "Selected bibliography", "x", True), (4, "Preferences", "x", False),
+    (5, "Tài liệu tham khảo", "x", True), (6, "Results", "Smith et al 2019, doi 10. " * 12, True), (7, "Results", "[1] [2, 3] words and words. " * 12, False),
+    (8, "Results", "See https://a.example/x and vol. 3, pp. 7. " * 8, True), (9, "Results", "et al 2020", False), (10, "Results", "In 1999 and 12345 words of other things went by. " * 5, True),
+    (11, "Results", "A year, 2001. " + "Then a text that goes on for a while with no mark of any citation at all. " * 6, False),
+]
+_REFERENCE_CASES_SQL = ", ".join(f"({i}, {'true' if w else 'false'})" for i, _, _, w in _REFERENCE_CASES)
+
+
+@query(f"SELECT * FROM (VALUES {_REFERENCE_CASES_SQL}) AS c(case_id, is_reference)")
+def reference_cases(spark, sf_dir):
+    """Headings and texts for which the rule is known."""
+    rows = spark.createDataFrame([c[:3] for c in _REFERENCE_CASES], "case_id int, heading string, text string")
+    return rows.select("case_id", X.reference_like(F.col("heading"), F.col("text")).alias("is_reference"))
+
+
+#: What questions name: tables, sections, and whether they speak of sections; ids of cases, and the answers by the rules.
+_NAMED_CASES = [
+    (1, "See Table 3a and table A1, Table2.", "3a,3A,A1,a1,2", "", False), (2, "bang 4 or Bảng B.2", "4,B.2,b.2", "4", False), (3, "stable 4, table-5", "", "4", False),
+    (4, "sections 3.2 and subsection B2", "", "3.2,B2", True), (5, "a cross-section of parts", "", "", False), (6, "第4章", "", "4", False),
+    (7, "GPT-4 against model4", "", "", False), (8, "what is in 4.1, then 7?", "", "4.1,7", True), (9, "part two", "", "", False), (10, "chương 5", "", "5", True),
+]
+_NAMED_SQL = ", ".join(f"({i}, '{t}', '{n}', {'true' if c else 'false'})" for i, _, t, n, c in _NAMED_CASES)
+
+
+@query(f"SELECT * FROM (VALUES {_NAMED_SQL}) AS c(case_id, tables, sections, cue)")
+def named_in_questions(spark, sf_dir):
+    rows = spark.createDataFrame([c[:2] for c in _NAMED_CASES], "case_id int, q string")
+    return rows.select(
+        "case_id", F.array_join(X.table_references(F.col("q")), ",").alias("tables"), F.array_join(X.section_references(F.col("q")), ",").alias("sections"), X.section_cue(F.col("q")).alias("cue")
+    )
+
+
+#: Pages as chunks: the site is the path, each folder of a URL an ancestor of what is below it.
+_PAGE_CHUNKS = r"""
+SELECT page_id, url, split_part(regexp_replace(url, '^https?://', ''), '/', 1) AS path,
+  list_slice(string_split(regexp_replace(url, '^https?://[^/]*/?', ''), '/'), 1, -2) AS folders FROM pages"""
+
+
+def _page_chunks(spark, sf_dir) -> DataFrame:
+    parts = F.split(F.regexp_replace("url", r"^https?://[^/]*/?", ""), "/")
+    folders = F.slice(parts, 1, F.greatest(F.size(parts) - 1, F.lit(0)))
+    return table(spark, sf_dir, "pages").select(
+        "page_id", "url", F.lit("web").alias("root"), F.split_part(F.regexp_replace("url", "^https?://", ""), F.lit("/"), F.lit(1)).alias("path"),
+        F.col("page_id").alias("seq"), F.coalesce(F.element_at(folders, -1), F.lit("s0")).alias("section_id"), folders.alias("section_ancestors"),
+    )
+
+
+@query(f"SELECT page_id, url FROM ({_PAGE_CHUNKS}) WHERE list_has_any(folders, ['en', 'fr'])")
 def section_subtree_scan(spark, sf_dir):
-    """Pages below the folders en and fr of their site: each folder of a URL is an ancestor."""
-    parts = F.split(F.regexp_replace("url", r"^https?://[^/]*/", ""), "/")
-    pages = table(spark, sf_dir, "pages").select("page_id", "url", F.slice(parts, 1, 1).alias("section_ancestors"))
-    return pages.where(F.arrays_overlap("section_ancestors", F.array(F.lit("en"), F.lit("fr")))).select("page_id", "url")
+    """Pages below folders en and fr, at any depth: each folder of a URL is an ancestor."""
+    pages = _page_chunks(spark, sf_dir)
+    return pages.where(search.in_sections(["en", "fr", "en"])).select("page_id", "url")
+
+
+@query(f"""
+SELECT page_id, url FROM ({_PAGE_CHUNKS}) WHERE path = (SELECT min(path) FROM ({_PAGE_CHUNKS})) AND list_has_any(folders, ['en', 'de', 'fr', 'es']) ORDER BY page_id LIMIT 20""")
+def section_scan(spark, sf_dir):
+    """The section scan of one document: the first site, its sections and what is below them, in order, 20 at most."""
+    pages = _page_chunks(spark, sf_dir)
+    site = pages.agg(F.min("path")).first()[0]
+    return search.section_scan(pages, "web", site, ["en", "de", "fr", "es"]).select("page_id", "url")
 
 
 @query("""
@@ -360,48 +425,73 @@ def table_number_scan(spark, sf_dir):
 
 
 @query(r"""
-SELECT conv_id, turn, regexp_matches(text, '(?i)\b(section|chapter|part|mục|chương|phần)\b') AS keyword, regexp_matches(text, '\d+\.\d+') AS dotted,
+SELECT conv_id, turn,
+  regexp_matches(text, '(?i)(^|[^\w-])(section|sections|subsection|chapter|mục|phần|chương)($|[^\w-])') OR regexp_matches(text, '(^|[^A-Za-z0-9_-])[A-Za-z]?\d+(\.\d+)+($|[^A-Za-z0-9])') AS cue,
+  regexp_matches(text, '(^|[^A-Za-z0-9_.-])(1|2|3)($|[^A-Za-z0-9_])') AS known_number,
   contains(trim(regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g')), 'doc 1') AS names_doc
 FROM conversations""")
 def section_query_gate(spark, sf_dir):
+    """What makes a turn a question about sections of an outline with sections 1 to 3."""
     asked = table(spark, sf_dir, "conversations")
-    return asked.select(
-        "conv_id",
-        "turn",
-        F.col("text").rlike(r"(?iu)\b(section|chapter|part|mục|chương|phần)\b").alias("keyword"),
-        F.col("text").rlike(r"\d+\.\d+").alias("dotted"),
-        X.mentions_document(F.col("text"), F.lit("doc-1.md")).alias("names_doc"),
-    )
+    known = F.arrays_overlap(X.bare_numbers(F.col("text")), F.array(F.lit("1"), F.lit("2"), F.lit("3")))
+    return asked.select("conv_id", "turn", X.section_cue(F.col("text")).alias("cue"), known.alias("known_number"), X.mentions_document(F.col("text"), F.lit("doc-1.md")).alias("names_doc"))
+
+
+#: Sets of documents: each root, and of each root the two documents with the least ids.
+_SETS = f"""
+SELECT root AS set_id, chunk_id, path, seq FROM ({_CHUNKS}) UNION ALL
+SELECT root || '/two', chunk_id, path, seq FROM ({_CHUNKS}) WHERE doc_id IN (
+  SELECT doc_id FROM (SELECT doc_id, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS r FROM documents) WHERE r <= 2)"""
 
 
 @query(f"""
-WITH c AS (SELECT *, row_number() OVER (PARTITION BY path ORDER BY seq, chunk_id) AS p FROM ({_CHUNKS}) WHERE root = 'src3'),
-n AS (SELECT count(DISTINCT path) AS n FROM c)
-SELECT chunk_id, path, seq FROM c, n WHERE p <= greatest(4, floor((CASE WHEN n > 3 THEN 24 ELSE 24 END) / n)) ORDER BY path, seq, chunk_id LIMIT 24""")
+WITH c AS (SELECT *, row_number() OVER (PARTITION BY set_id, path ORDER BY seq, chunk_id) AS p, dense_rank() OVER (PARTITION BY set_id ORDER BY path) AS d FROM ({_SETS})),
+n AS (SELECT set_id, count(DISTINCT path) AS n FROM c GROUP BY set_id),
+k AS (SELECT set_id, chunk_id, path, seq, row_number() OVER (PARTITION BY set_id ORDER BY d, p) AS place FROM c JOIN n USING (set_id)
+  WHERE d <= 3 AND p <= greatest(4, floor((CASE WHEN n > 3 THEN greatest(24 - 8, 6) ELSE 24 END) / least(n, 3))))
+SELECT set_id, chunk_id, path, seq, CAST(place AS INTEGER) AS n FROM k WHERE place <= 24""")
 def budgeted_union(spark, sf_dir):
-    rows = _chunks(spark, sf_dir).where(search.in_scope("src3")).select("chunk_id", "path", "seq")
-    return context.budgeted(rows)
+    rows = _chunks(spark, sf_dir).select(F.col("root").alias("set_id"), "chunk_id", "path", "seq", "doc_id")
+    first = W.partitionBy("source").orderBy("doc_id")
+    two = table(spark, sf_dir, "documents").select("doc_id", F.row_number().over(first).alias("r")).where("r <= 2").select("doc_id")
+    sets = rows.unionByName(rows.join(two, "doc_id", "left_semi").withColumn("set_id", F.concat("set_id", F.lit("/two"))))
+    return context.budgeted(sets.drop("doc_id"), 8, "set_id")
 
 
-def _hit_chunks(spark, sf_dir) -> DataFrame:
-    """First chunks of the documents that answer the last of the asked queries, by rank."""
-    hits = _bm25(spark, sf_dir, 5).where("query_id = 5").select("doc_id", "rank", "score")
-    return hits.join(_chunks(spark, sf_dir).where("seq = 1"), "doc_id")
+_HITS = f"SELECT h.query_id, h.rank, h.score, c.* FROM ({_ranked_sql(5, f'({_CHUNKS})', 'chunk_id')}) h JOIN ({_CHUNKS}) c USING (chunk_id)"
 
 
-_HITS = f"SELECT h.rank, h.score, c.* FROM ({_ranked_sql(5)}) h JOIN ({_CHUNKS}) c ON c.doc_id = h.doc_id AND c.seq = 1 WHERE h.query_id = 5"
+def _hit_chunks(spark, sf_dir) -> DataFrame:
+    """The five chunks that answer each asked query best, by rank."""
+    chunks = _chunks(spark, sf_dir)
+    asked = spark.createDataFrame(_ASKED, "query_id int, query string")
+    scored = search.bm25(search.postings(chunks, "chunk_id", "text"), asked, chunks.count(), "chunk_id")
+    return search.top_per_query(scored, 5, "chunk_id").join(chunks, "chunk_id")
 
 
 @query(f"""
-WITH hits AS ({_HITS}), beside AS (
-  SELECT * FROM (SELECT h.rank, c.chunk_id, row_number() OVER (PARTITION BY h.rank ORDER BY c.seq, c.chunk_id) AS near
-    FROM hits h JOIN ({_CHUNKS}) c ON c.root = h.root AND c.path = h.path AND c.section_heading = h.section_heading
-    WHERE c.chunk_id NOT IN (SELECT chunk_id FROM hits)) WHERE near <= 4),
-both_ AS (SELECT rank, chunk_id, 0 AS near FROM hits UNION ALL SELECT rank, chunk_id, near FROM beside)
-SELECT CAST(row_number() OVER (ORDER BY rank, near) AS INTEGER) AS ord, chunk_id, rank, CAST(near AS INTEGER) AS near FROM both_ ORDER BY rank, near LIMIT 16""")
+WITH RECURSIVE hits AS ({_HITS}), placed AS (
+  SELECT h.query_id, h.rank, h.chunk_id AS hit, c.chunk_id, row_number() OVER (PARTITION BY h.query_id, h.rank ORDER BY c.seq, c.chunk_id) AS near
+    FROM hits h JOIN ({_CHUNKS}) c ON c.root = h.root AND c.path = h.path AND c.section_heading = h.section_heading),
+sides AS (SELECT query_id, rank, hit, list(chunk_id ORDER BY near) FILTER (near <= 5) AS beside FROM placed GROUP BY query_id, rank, hit),
+r AS (SELECT DISTINCT query_id, 0 AS i, CAST([] AS VARCHAR[]) AS ids FROM sides
+  UNION ALL SELECT r.query_id, r.i + 1, CASE WHEN list_contains(ids, hit) THEN ids ELSE list_slice(list_concat(list_append(ids, hit),
+      list_slice(list_filter(beside, lambda x: x <> hit AND NOT list_contains(ids, x)), 1, 4)), 1, 16) END
+    FROM r JOIN sides s ON s.query_id = r.query_id AND s.rank = r.i + 1),
+last AS (SELECT query_id, arg_max(ids, i) AS ids FROM r GROUP BY query_id)
+SELECT query_id, CAST(o AS INTEGER) AS ord, ids[o] AS chunk_id FROM last, range(1, 17) AS t(o) WHERE o <= len(ids)""")
 def small_to_big(spark, sf_dir):
     hits = _hit_chunks(spark, sf_dir).withColumnRenamed("section_heading", "section_id")
-    return context.expand(hits, _chunks(spark, sf_dir).withColumnRenamed("section_heading", "section_id"))
+    return context.expand(hits, _chunks(spark, sf_dir).withColumnRenamed("section_heading", "section_id"), of="query_id").select("query_id", "ord", "chunk_id")
+
+
+#: Hits of one section that are each other's neighbours: the cases that tell the rule apart.
+@query("SELECT * FROM (VALUES (1, 'c1'), (2, 'c2'), (3, 'c3'), (4, 'c4'), (5, 'c5'), (6, 'd2'), (7, 'd1')) AS v(ord, chunk_id)")
+def small_to_big_cases(spark, sf_dir):
+    chunks = spark.createDataFrame([(f"c{i}", "p", i) for i in range(1, 9)] + [("d1", "q", 1), ("d2", "q", 2)], "chunk_id string, path string, seq int")
+    chunks = chunks.withColumns({"root": F.lit("r"), "section_id": F.lit("s1")})
+    hits = spark.createDataFrame([("c1", 1), ("c3", 2), ("d2", 3)], "chunk_id string, rank int").join(chunks, "chunk_id")
+    return context.expand(hits, chunks).select("ord", "chunk_id")
 
 
 @query("""
@@ -420,10 +510,12 @@ def hydrate_tables(spark, sf_dir):
 
 
 @query(f"""
-SELECT CAST(rank AS INTEGER) AS n, '[' || rank || '] ' || title || chr(10) || 'Source: ' || path || chr(10) || 'Section: ' || section_heading || chr(10)
-  || 'Score: ' || printf('%.4f', round(CAST(score AS DECIMAL(18, 6)), 4)) || chr(10) || chr(10) || text AS block FROM ({_HITS})""")
+SELECT query_id, CAST(rank AS INTEGER) AS n, '[Source ' || rank || ']' || chr(10) || 'Title: ' || title || chr(10) || 'URL: ' || path || chr(10) || 'Section: ' || section_heading || chr(10)
+  || 'Breadcrumbs: ' || section_heading || chr(10) || 'Score: ' || printf('%.4f', round(CAST(score AS DECIMAL(18, 6)), 4)) || chr(10) || 'Text: ' || text AS block FROM ({_HITS})""")
 def context_format(spark, sf_dir):
-    return context.format_context(_hit_chunks(spark, sf_dir).withColumn("url", F.col("path")))
+    """Prompt blocks of the best chunks for each asked query."""
+    hits = _hit_chunks(spark, sf_dir).withColumns({"url": F.col("path"), "section_titles": F.array("section_heading")})
+    return context.format_context(hits, of="query_id")
 
 
 #: The state of an earlier run: every seventh document unknown, some changed since, some in error, some gone.
@@ -618,6 +710,18 @@ def asset_reject_case(spark, sf_dir):
     return assets.with_occurrences(part).select("p_partkey", reason.alias("reason"))
 
 
+_REJECTS = ORACLES["asset_reject_case"]
+
+
+@query(f"""
+SELECT p_type AS file_id, string_agg(reason || '=' || n, ',' ORDER BY reason) AS rejected FROM (
+  SELECT p_type, reason, count(*) AS n FROM ({_REJECTS}) JOIN part USING (p_partkey) WHERE reason IS NOT NULL GROUP BY p_type, reason) GROUP BY p_type""")
+def reject_histogram(spark, sf_dir):
+    judged = asset_reject_case(spark, sf_dir).join(table(spark, sf_dir, "part").select("p_partkey", F.col("p_type").alias("file_id")), "p_partkey")
+    pairs = F.transform(F.array_sort(F.map_entries("rejected")), lambda e: F.concat_ws("=", e["key"], e["value"].cast("string")))
+    return assets.reject_histogram(judged).select("file_id", F.array_join(pairs, ",").alias("rejected"))
+
+
 @query("""
 WITH c AS (SELECT event_type, CAST(floor(value) AS BIGINT) % 256 AS v, count(*) AS n FROM events WHERE value IS NOT NULL GROUP BY 1, 2),
 t AS (SELECT event_type, sum(n) AS total, arg_min(v, (-n, v)) AS mode FROM c GROUP BY event_type)
@@ -655,3 +759,101 @@ def json_extract_tolerant(spark, sf_dir):
     wrapped = F.concat(F.lit("Here you are:\n```json\n"), "props", F.lit("\n```\nDone."))
     found = table(spark, sf_dir, "events").where("props LIKE '{%}'").select("event_id", F.from_json(X.json_object(wrapped), "map<string,string>").alias("m"), F.json_object_keys(X.json_object(wrapped)).alias("k"))
     return found.select("event_id", F.try_element_at("m", F.col("k")[0]).alias("first_value"), F.size("k").cast("long").alias("keys"))
+
+
+#: Customers as documents of many paragraphs: the comments of their orders, in order; some paragraphs are very long.
+_ORDERS_TEXT = """
+SELECT o_custkey, list(p ORDER BY o_orderkey) AS ps FROM (
+  SELECT o_custkey, o_orderkey, repeat(o_orderpriority || ' ' || o_orderkey || '. ', CAST(1 + (CASE WHEN o_orderkey % 17 = 0 THEN 200 ELSE o_orderkey % 50 END) AS BIGINT)) AS p FROM orders) GROUP BY o_custkey"""
+
+
+@query(rf"""
+WITH RECURSIVE t AS (SELECT o_custkey, list_transform(ps, lambda x: trim(x)) AS ps, trim(array_to_string(ps, chr(10) || chr(10))) AS whole FROM ({_ORDERS_TEXT})),
+r AS (SELECT o_custkey, 0 AS i, CAST([] AS VARCHAR[]) AS parts, '' AS packed, ps FROM t WHERE length(whole) > 1800
+  UNION ALL SELECT o_custkey, i + 1,
+    CASE WHEN packed <> '' AND length(packed) + 2 + length(ps[i + 1]) <= 1200 THEN parts
+      ELSE list_concat(list_concat(parts, CASE WHEN packed = '' THEN [] ELSE [packed] END),
+        CASE WHEN length(ps[i + 1]) > 1800 THEN list_transform(range(0, CAST(ceil(length(ps[i + 1]) / 1800.0) AS BIGINT)), lambda k: substr(ps[i + 1], k * 1800 + 1, 1800)) ELSE [] END) END,
+    CASE WHEN packed <> '' AND length(packed) + 2 + length(ps[i + 1]) <= 1200 THEN packed || chr(10) || chr(10) || ps[i + 1]
+      WHEN length(ps[i + 1]) > 1800 THEN '' ELSE ps[i + 1] END, ps
+  FROM r WHERE i < len(ps)),
+done AS (SELECT o_custkey, CASE WHEN packed = '' THEN parts ELSE list_append(parts, packed) END AS pieces FROM r WHERE i = len(ps)
+  UNION ALL SELECT o_custkey, [whole] FROM t WHERE length(whole) <= 1800)
+SELECT o_custkey, len(pieces) AS pieces, md5(array_to_string(pieces, '|')) AS hash FROM done""")
+def pack_paragraphs(spark, sf_dir):
+    """Splitting texts of many paragraphs: packed, standing alone, or cut."""
+    times = 1 + F.when(F.col("o_orderkey") % 17 == 0, 200).otherwise(F.col("o_orderkey") % 50)
+    paragraph = F.repeat(F.format_string("%s %d. ", "o_orderpriority", "o_orderkey"), times.cast("int"))
+    texts = table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.array_sort(F.collect_list(F.struct("o_orderkey", paragraph.alias("p")))).alias("ps"))
+    pieces = texts.select("o_custkey", chunking.split_column(F.array_join(F.transform("ps", lambda s: s["p"]), "\n\n")).alias("x"))
+    return pieces.select("o_custkey", F.size("x").cast("long").alias("pieces"), F.md5(F.array_join("x", "|")).alias("hash"))
+
+
+@query(f"""
+WITH a AS (SELECT doc_id, 1 AS b, rank FROM ({_ranked_sql(10)}) WHERE query_id = 1), c AS (SELECT doc_id, 2 AS b, rank FROM ({_ranked_sql(10)}) WHERE query_id = 2),
+u AS (SELECT doc_id, b, rank, row_number() OVER (PARTITION BY doc_id ORDER BY b, rank) AS f FROM (SELECT * FROM a UNION ALL SELECT * FROM c))
+SELECT doc_id, CAST(rank AS INTEGER) AS rank FROM u WHERE f = 1 ORDER BY b, rank LIMIT 24""")
+def ordered_union(spark, sf_dir):
+    """Hits of two questions one after the other, each document once, at its first place."""
+    hits = _bm25(spark, sf_dir, 10)
+    return context.ordered_union([hits.where(f"query_id = {i}").select("doc_id", "rank") for i in (1, 2)], "doc_id", "rank", context.CAP)
+
+
+@query(f"""
+SELECT query_id, count(*) FILTER (doc_id % 2 = 0) AS locked, count(*) FILTER (doc_id % 2 <> 0) AS open, coalesce(max(score) FILTER (doc_id % 2 <> 0) >= 0.5, false) AS skip
+FROM ({_ranked_sql(10)}) GROUP BY query_id""")
+def locked_rows(spark, sf_dir):
+    """Locked rows (here: of even ids) are not graded; the gate looks at the others."""
+    hits = _bm25(spark, sf_dir, 10).withColumns({"chunk_id": F.col("doc_id").cast("string"), "semantic_score": F.lit(0.0)})
+    out = None
+    for i, _ in _ASKED:
+        mine = hits.where(f"query_id = {i}")
+        even = [r[0] for r in mine.where("doc_id % 2 = 0").select("chunk_id").collect()]
+        locked, others = context.locked_and_open(mine, even)
+        row = context.grade_gate(others).select(F.lit(i).alias("query_id"), F.lit(locked.count()).cast("long").alias("locked"), F.lit(others.count()).cast("long").alias("open"), "skip")
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
+@query(f"""
+SELECT query_id, mean_recall FROM (SELECT query_id, round(CAST(avg(recall) AS DOUBLE), 6) AS mean_recall FROM ({_SCORES}) GROUP BY query_id) ORDER BY mean_recall, query_id LIMIT 5""")
+def lowest_recall(spark, sf_dir):
+    return evaluate.lowest(_scores(spark, sf_dir), "recall", 5)
+
+
+@query("""
+SELECT r_regionkey, CASE WHEN n > 3 THEN head || chr(10) || '(3 of ' || n || ' rows shown, all by table id t' || r_regionkey || ')' ELSE whole END AS text FROM (
+  SELECT n_regionkey AS r_regionkey, count(*) AS n, '| key | name |' || chr(10) || '| --- | --- |' || chr(10) || string_agg(line, chr(10) ORDER BY k) AS whole,
+    '| key | name |' || chr(10) || '| --- | --- |' || chr(10) || string_agg(line, chr(10) ORDER BY k) FILTER (i <= 3) AS head
+  FROM (SELECT n_regionkey, n_nationkey AS k, '| ' || n_nationkey || ' | ' || n_name || ' |' AS line, row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) AS i FROM nation) GROUP BY n_regionkey)""")
+def truncated_tables(spark, sf_dir):
+    """Tables beyond their cap of rows, with a notice."""
+    rows = _region_table(spark, sf_dir).withColumn("rows", markdown.table_cells(F.col("text")))
+    whole = F.concat(F.lit("t"), F.col("r_regionkey").cast("string"))
+    return rows.select("r_regionkey", markdown.truncated_table(F.col("rows"), 3, 6000, whole).alias("text"))
+
+
+@query("""
+SELECT 'mixed' AS root, count(*) AS files, count(*) FILTER (status = 'error') AS errors FROM (SELECT CASE WHEN doc_id % 7 = 4 THEN 'error' ELSE 'indexed' END AS status FROM documents)""")
+def index_totals(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select(F.when(F.col("doc_id") % 7 == 4, "error").otherwise("indexed").alias("status"))
+    counts = sync.status_counts(docs)
+    of = lambda k: F.coalesce(F.max(F.when(F.col("status") == k, F.col("files"))), F.lit(0))
+    return counts.agg(of("total").alias("files"), of("error").alias("errors")).select(F.lit("mixed").alias("root"), "files", "errors")
+
+
+@query("""
+SELECT r_name || '.md' AS path, seq, kind, asset FROM region, (VALUES (1, 'text', NULL), (2, 'image_stub', 'p0'), (3, 'image_stub', 'p1'), (4, 'text', NULL)) AS v(seq, kind, asset)""")
+def image_stubs(spark, sf_dir):
+    """A document of each region with two pictures: stubs in the section before any heading, then pointers to them."""
+    picture = F.struct(F.lit("a.png").alias("image_path"), F.lit("first").alias("caption")), F.struct(F.lit("b.png").alias("image_path"), F.lit(None).cast("string").alias("caption"))
+    docs = table(spark, sf_dir, "region").select(F.lit("r").alias("root"), F.concat("r_name", F.lit(".md")).alias("path"), F.concat(F.lit("# "), "r_name", F.lit("\n\ntext")).alias("text"), F.array(*picture).alias("images"))
+    made = chunking.chunk_frame(docs)
+    return made.select("path", "seq", F.col("chunk_type").alias("kind"), F.nullif(F.regexp_extract(F.coalesce("asset_id", F.lit("")), r"_s0_(p\d+)$", 1), F.lit("")).alias("asset"))
+
+
+@query(f"SELECT chunk_id, path, title, section_heading, seq - seq + 1 AS section_level, 'text' AS chunk_type, 0 AS char_count, 34 AS columns FROM ({_CHUNKS})")
+def result_columns(spark, sf_dir):
+    """The columns of a result, with defaults for those that a chunk lacks."""
+    found = search.results(_chunks(spark, sf_dir))
+    return found.select("chunk_id", "path", "title", "section_heading", "section_level", "chunk_type", "char_count", F.lit(len(found.columns)).alias("columns"))

@@ -24,11 +24,16 @@ def normal_root(path: str) -> str:
     return os.path.abspath(os.path.expanduser(path.replace("\\", "/")))
 
 
-def scan(spark: SparkSession, root: str, content: bool = False) -> DataFrame:
+def scan(spark: SparkSession, root: str, content: bool = False, hidden: bool = False, paths: list[str] | None = None) -> DataFrame:
     """Supported files below root: root, path, name, ext, size, mtime_ns; content is read only if asked for.
 
-    Names that start with a dot are left out at any depth; Spark itself leaves out names that start with an underscore."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
+    Names that start with a dot are left out at any depth unless hidden is set; Spark itself leaves out names that
+    start with an underscore.  With paths only those files are looked at."""
+    reader = spark.read.format("binaryFile")
+    if paths is None:
+        files = reader.option("recursiveFileLookup", True).load(root)
+    else:
+        files = reader.load([f"{root}/" + re.sub(r"([\[\]{}*?\\])", r"\\\1", p) for p in paths])
     base = re.sub(r"^file:/+", "/", root).rstrip("/")
     path = F.regexp_replace("path", r"^[A-Za-z][A-Za-z0-9+.-]*:(?://[^/]*)?(?=/)", "")
     rel = F.substring(F.regexp_replace(path, "/+", "/"), len(base) + 2, 1_000_000)
@@ -41,7 +46,8 @@ def scan(spark: SparkSession, root: str, content: bool = False) -> DataFrame:
         (F.unix_micros("modificationTime") * 1000).alias("mtime_ns"),
         *([F.col("content")] if content else []),
     )
-    return rows.where(~F.col("path").rlike(r"(^|/)\.") & F.col("ext").isin(*SUFFIXES))
+    seen = F.lit(True) if hidden else ~F.col("path").rlike(r"(^|/)\.")
+    return rows.where(seen & F.col("ext").isin(*SUFFIXES))
 
 
 def file_meta(spark: SparkSession, root: str, path: str) -> DataFrame:
@@ -49,7 +55,7 @@ def file_meta(spark: SparkSession, root: str, path: str) -> DataFrame:
 
 
 def listing(spark: SparkSession, root: str, limit: int = LISTED) -> DataFrame:
-    return scan(spark, root).select("path").orderBy("path").limit(limit)
+    return scan(spark, root, hidden=True).select("path").orderBy("path").limit(limit)
 
 
 def tree(files: DataFrame) -> dict:
@@ -87,9 +93,9 @@ def read_content(spark: SparkSession, root: str, path: str, most: int = CONTENT_
     return out | ({"encoding": "utf-8", "content": data.decode("utf-8", "replace")} if is_text else {"encoding": "base64", "content": row["base64"].replace("\r\n", "")})
 
 
-def read_documents(spark: SparkSession, root: str, decoders=None) -> DataFrame:
-    """root, path, text, error, content_hash of the files below root, decoded on the executors."""
-    files = scan(spark, root, content=True)
+def read_documents(spark: SparkSession, root: str, decoders=None, paths: list[str] | None = None) -> DataFrame:
+    """root, path, text, error, content_hash of the files below root (or of paths alone), decoded on the executors."""
+    files = scan(spark, root, content=True, paths=paths)
     return files.select(
         "root", "path", "size", "mtime_ns", F.sha2("content", 256).alias("content_hash"), markdown_of(F.col("ext"), F.col("content"), decoders).alias("d")
     ).select("root", "path", "size", "mtime_ns", "content_hash", F.make_valid_utf8("d.text").alias("text"), "d.error")

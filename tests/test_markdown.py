@@ -101,6 +101,39 @@ def test_captions():
     assert [(t["type"], t["table_number"]) for t in got] == [("table", "2.1"), ("text", None)]
 
 
+@pytest.mark.parametrize(
+    "text,want",
+    [
+        ("# Head\fbody\x85more", [("heading", "Head"), ("text", "body\nmore")]),
+        ("<!-- Start of picture text --><!-- End of picture text -->\nafter", [("text", "after")]),
+        ("a\n```x\n# no\n```\nb", [("text", "a"), ("text", "# no"), ("text", "b")]),
+        ("~~~\n```\n~~~\n| a |\n  | 1 |\ntext", [("text", "```"), ("table", [["a"], ["1"]]), ("text", "text")]),
+        ("one\n \t\ntwo\n\n\nthree", [("text", "one"), ("text", "two"), ("text", "three")]),
+    ],
+)
+def test_more_block_edges(text, want):
+    assert kinds(text) == want
+
+
+def test_comments_do_not_end_a_paragraph():
+    assert [b["text"] for b in M.parse_blocks("a\n<!-- one\ntwo --> gone\nb <!-- c --> d\n<!-- open\ne")] == ["a\nb  d"]
+
+
+def test_pictures_take_time_in_proportion():
+    M.parse_blocks("<!-- Start of picture text -->x<!-- End of picture text -->\n" * 20_000)
+    M.parse_blocks("<!-- " * 100_000), M.parse_blocks("```\n" * 100_001), M.parse_blocks("|\n" * 100_000), M.parse_blocks(" " * 100_000)
+
+
+def test_captions_by_the_first_neighbour():
+    a = table(("x",), ("1",))
+    kinds_of = lambda *b: [(t["type"], t["table_number"]) for t in S.attach_captions(list(b))]
+    assert kinds_of(text("Table 1: t"), a, text("Figure 2: f")) == [("text", None), ("table", None), ("text", None)]
+    assert kinds_of(a, text("Table 3a: t")) == [("table", "3a")] and kinds_of(a, text("**Table A1.** t")) == [("table", "A1")] and kinds_of(a, text("Table2- t")) == [("table", "2")]
+    assert kinds_of(a, text("see Table 2: t")) == [("table", None), ("text", None)]
+    assert M.default_caption([["a", "", "b"], ["1"]]) == "Table with columns: a, b. Rows: 1."
+    assert S.clean_heading("**A**b *c*") == "A b c"
+
+
 def test_section_ids():
     s = S.SectionStack()
     ids = [s.enter(level, t)["id"] for level, t in [(1, "1 One"), (2, "1.1 Sub"), (2, "Plain"), (3, "**Deep**"), (1, "1 Again"), (1, "Other"), (1, "A Survey of X"), (2, "2 Off")]]
@@ -116,9 +149,10 @@ def test_split_one_paragraph(n, sizes):
 def test_split_packs_paragraphs(spark):
     texts = ["\n\n".join(p) for p in (["b" * 700, "c" * 400, "d" * 1300, "e" * 2000], ["x" * 600] * 5, ["", "y" * 1799, " ", "z"], ["q" * 1799])]
     assert [len(p) for p in C.split_text(texts[0])] == [1102, 1300, 1800, 200]
-    df = spark.createDataFrame([(t,) for t in [*texts, None, ""]], "t string")
+    texts += ["\n\n\n".join("ab \n\t"[k % 3] * 700 for k in range(9)), "\t" + "\n\n\u00a0".join(["k\t" * 450] * 4) + "\x1c\n", " \n\t\u2003", None, ""]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
     got = [r[0] for r in df.select(C.split_column(df.t)).collect()]
-    assert got == [C.split_text(t) for t in [*texts, None, ""]]
+    assert got == [C.split_text(t) for t in texts]
 
 
 def test_chunks_of_a_document():
@@ -133,6 +167,12 @@ def test_chunks_of_a_document():
     assert len({c["chunk_id"] for c in chunks}) == 6 and all(c["char_count"] == len(c["text"]) for c in chunks)
 
 
+def test_images_through_spark(spark):
+    df = spark.createDataFrame([("/r", "a.md", "# A\n\nx", [("i.png", "c"), ("j.png", None)]), ("/r", "b.md", "y", None)], "root string, path string, text string, images array<struct<image_path:string,caption:string>>")
+    got = [(r.path, r.chunk_type, r.asset_path, r.section_id) for r in C.chunk_frame(df).orderBy("path", "seq").collect()]
+    assert got == [("a.md", "text", None, "x1"), ("a.md", "image_stub", "i.png", "s0"), ("a.md", "image_stub", "j.png", "s0"), ("a.md", "text", None, "x1"), ("b.md", "text", None, "s0")]
+
+
 def test_chunk_frame_and_outline(spark):
     df = spark.createDataFrame([("/r", "a.md", "# 1 A\n\nx\n\n## 1.2 B\n\ny\n\n# C\n\nz"), ("/r", "b.md", None), ("/r", "c.md", "plain")], "root string, path string, text string")
     chunks = C.chunk_frame(df)

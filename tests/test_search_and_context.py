@@ -38,8 +38,8 @@ def test_sizes_and_fusion(spark):
     assert search.fetch_sizes(5) == (15, 30) and search.fetch_sizes(8) == (24, 48) and search.fetch_sizes(1) == (11, 22)
     a = spark.createDataFrame([(1, "x", 1, 0.9), (1, "y", 2, 0.8)], "query_id int, id string, rank int, semantic_score double")
     b = spark.createDataFrame([(1, "y", 1), (1, "z", 2)], "query_id int, id string, rank int")
-    refs = "[1] [2] [3] [4] " * 20
-    chunks = spark.createDataFrame([("x", "h", "t"), ("y", "References", "t"), ("z", "h", refs)], "id string, section_heading string, text string")
+    refs = "Smith et al. 2019, doi 10.1, pp. 3. " * 20
+    chunks = spark.createDataFrame([("x", "h", "t"), ("y", "7 References", "t"), ("z", "h", refs)], "id string, section_heading string, text string")
     got = search.hybrid(a, b, chunks, 3).orderBy("rank").collect()
     assert [(r.id, r.score, r.semantic_score) for r in got] == [("x", 0.5, 0.9), ("y", round((1 / 3 + 1 / 2) * 0.4, 6), 0.8), ("z", round(1 / 3 * 0.4, 6), 0.0)]
 
@@ -47,6 +47,7 @@ def test_sizes_and_fusion(spark):
 def test_references(spark):
     tables = lambda t: one(spark, X.table_references(F.lit(t)))
     assert tables("See Table 2, Bảng 3.1 and table A.1.") == ["2", "3.1", "A.1", "a.1"] and tables("the table shows") == []
+    assert tables("Table 3a, Table2 and bang 4") == ["3a", "3A", "2", "4"] and tables("table of 3, stable 4") == []
     sections = lambda t: one(spark, X.section_references(F.lit(t)))
     assert sections("section 3.2 and chapter 4 of GPT-4, then 5.1") == ["3.2", "4", "5.1"]
     named = lambda q, p: one(spark, X.mentions_document(F.lit(q), F.lit(p)))
@@ -56,6 +57,27 @@ def test_references(spark):
     assert one(spark, X.json_object(F.lit('so: {"a": {"b": 1}} end'))) == '{"a": {"b": 1}}'
 
 
+def test_counting_within_rows(spark):
+    rng = random.Random(4)
+    texts = [" ".join(rng.choice("abcde") * rng.randint(1, 2) for _ in range(rng.randint(0, 40))) for _ in range(50)] + [None, "", "A a. B-b"]
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, text string")
+    index = search.postings(df, "id", "text")
+    got = sorted((r.id, r.term, r.tf, r.length) for r in index.collect())
+    want = []
+    for i, t in enumerate(texts):
+        words = "".join(c if c.isalnum() else " " for c in (t or "").lower()).split()
+        want += [(i, w, words.count(w), len(words)) for w in set(words)]
+    assert got == sorted(want)
+    assert "Exchange" not in index._jdf.queryExecution().executedPlan().toString()
+
+
+def test_results(spark):
+    df = spark.createDataFrame([("c", 2, None)], "chunk_id string, section_level int, section_number string")
+    row = search.results(df).first().asDict()
+    assert len(row) == 34 and list(row) == list(search.RESULT)
+    assert (row["section_level"], row["section_depth"], row["section_number"], row["breadcrumbs"], row["chunk_type"], row["text"]) == (2, 1, "", [], "text", None)
+
+
 def test_scans(spark):
     rows = [("r", "p", i, f"c{i}", ["s1"] if i < 3 else ["s1", "s1.1"], "s1" if i < 3 else "s1.1", "table_stub" if i == 4 else "text", "2" if i == 4 else None) for i in range(1, 6)]
     df = spark.createDataFrame(rows, "root string, path string, seq int, chunk_id string, section_ancestors array<string>, section_id string, chunk_type string, table_number string")
@@ -70,16 +92,20 @@ def test_union_and_expansion(spark):
     b = spark.createDataFrame([("y", 1), ("x", 2), (None, 3)], "id string, n int")
     assert [r.id for r in context.ordered_union([a, b], "id", "n").collect()] == ["x", None, "y", None]
     chunks = spark.createDataFrame([(f"c{i}", "r", "p", "s", i) for i in range(12)], "chunk_id string, root string, path string, section_id string, seq int")
-    hits = spark.createDataFrame([("c7", 1, "r", "p", "s"), ("c0", 2, "r", "p", "s")], "chunk_id string, rank int, root string, path string, section_id string")
-    assert [r.chunk_id for r in context.expand(hits, chunks).orderBy("ord").collect()] == ["c7", "c1", "c2", "c3", "c4", "c0"]
+    hit = lambda *ids: spark.createDataFrame([(c, i, "r", "p", "s") for i, c in enumerate(ids)], "chunk_id string, rank int, root string, path string, section_id string")
+    wide = lambda *ids, **k: [r.chunk_id for r in context.expand(hit(*ids), chunks, **k).orderBy("ord").collect()]
+    assert wide("c7", "c0") == ["c7", "c0", "c1", "c2", "c3"] and wide("c1", "c3") == ["c1", "c0", "c2", "c3", "c4"]
+    assert wide("c7", "c9", "c7") == ["c7", "c0", "c1", "c2", "c3", "c9", "c4"] and wide("c7", "c9", limit=6) == ["c7", "c0", "c1", "c2", "c3", "c9"]
+    alone = hit("c2").withColumn("section_id", F.lit(None).cast("string"))
+    assert [r.chunk_id for r in context.expand(alone, chunks).collect()] == ["c2"] and context.expand(hit("c1").limit(0), chunks).count() == 0
     gate = lambda rows: context.grade_gate(spark.createDataFrame(rows, "semantic_score double, score double")).first()["skip"]
     assert gate([(0.0, 0.6)]) and gate([(0.7, 0.1)]) and not gate([(0.4, 0.9)]) and not gate([])
 
 
 def test_budgets(spark):
-    many = spark.createDataFrame([(f"p{d}", s, f"{d}:{s}") for d in range(8) for s in range(9)], "path string, seq int, chunk_id string")
-    got = context.budgeted(many).collect()
-    assert len(got) == 24 and max(sum(r.path == f"p{d}" for r in got) for d in range(8)) == 4
+    of = lambda n, rows: spark.createDataFrame([("r", f"p{d}", s, f"{d}:{s}") for d in range(n) for s in range(rows)], "root string, path string, seq int, chunk_id string")
+    per = lambda n, rows, k: [sum(r.path == f"p{d}" for r in got) for got in [context.budgeted(of(n, rows), k).collect()] for d in range(n)]
+    assert per(8, 9, 8) == [5, 5, 5, 0, 0, 0, 0, 0] and per(4, 30, 20) == [4, 4, 4, 0] and per(2, 30, 8) == [12, 12] and per(3, 3, 8) == [3, 3, 3] and per(1, 30, 8) == [24]
 
 
 def test_hydration(spark):

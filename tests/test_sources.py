@@ -99,6 +99,43 @@ def test_engine_round(spark, folder, tmp_path_factory):
     assert {r.path: (r.stale, r.summary) for r in engine.insights(root, cache).collect()} == {"a.md": (False, "single"), "c.docx": (True, None)}
 
 
+def test_the_last_file_of_a_folder(spark, tmp_path):
+    folder = tmp_path / "docs"
+    folder.mkdir()
+    (folder / "a.md").write_text("# One\n\nalpha")
+    engine = Engine(spark, str(tmp_path / "home"), embed=lambda texts: [[1.0, 0.0] for _ in texts])
+    counts = lambda df: {r.change: r.files for r in df.collect()}
+    assert counts(engine.sync(str(folder))) == {"added": 1} and counts(engine.sync(str(folder))) == {"unchanged": 1}
+    assert engine.totals(str(folder)) == {"files": 1, "chunks": 1, "tables": 0, "images": 0, "embedded": 1}
+    (folder / "a.md").unlink()
+    (folder / "keep.zip").write_text("not read")
+    assert counts(engine.sync(str(folder))) == {"deleted": 1} and counts(engine.sync(str(folder))) == {}
+    assert engine.chunks.count() == engine.state.count() == 0 and engine.totals(str(folder))["embedded"] == 0
+    assert engine.search("alpha", str(folder)).count() == 0
+
+
+def test_batches_cards_and_embeddings(spark, folder, tmp_path_factory):
+    embedded = []
+    engine = Engine(spark, str(tmp_path_factory.mktemp("home")), embed=lambda texts: [[float(len(t)), 1.0] for t in texts])
+    root = str(folder)
+    engine.sync(root)
+    stamp = {r.path: r.indexed_at for r in engine.state.collect()}
+    (folder / "a.md").write_text("# New\n\nzeta")
+    batch = spark.createDataFrame([("a.md", "upsert"), ("sub/b.txt", "delete"), ("never.md", "upsert"), ("p.pdf", "upsert")], "path string, action string")
+    assert engine.apply(root, batch) == {"deleted": 1, "indexed": 1, "errors": 1}
+    assert engine.search("zeta", root).first()["path"] == "a.md" and engine.search("gamma", root).where("path = 'sub/b.txt'").count() == 0
+    after = {r.path: (r.status, r.indexed_at) for r in engine.state.collect()}
+    assert after["a.md"][1] > stamp["a.md"] and after["c.docx"][1] == stamp["c.docx"] and after["p.pdf"][0] == "error" and "sub/b.txt" not in after
+    card = engine.cards(root).where("path = 'a.md'").first()
+    assert card.stale and card.summary is None
+    engine.save_cards(root, spark.createDataFrame([("a.md", "sum", card.file_hash), ("gone.md", "x", "y")], "path string, summary string, file_hash string"))
+    again = {r.path: (r.summary, r.stale) for r in engine.cards(root).collect()}
+    assert again == {"a.md": ("sum", False), "c.docx": (None, True)}
+    assert len(engine.results(engine.dense_search("q", root, k=2)).columns) == 34
+    engine.drop_root(root)
+    assert engine.chunks.count() == engine.state.count() == 0
+
+
 def test_engine_with_vectors(spark, folder, tmp_path_factory):
     engine = Engine(spark, str(tmp_path_factory.mktemp("home")), embed=lambda texts: [[float("gamma" in t), float("alpha" in t), 0.1] for t in texts])
     engine.sync(str(folder))

@@ -33,6 +33,13 @@ def test_precedence():
     assert plan(requested=["c", "c"]).paths == ["c"] and plan(excluded=["a"]).paths == ["b", "c"]
     assert plan().paths == ["b"] and plan().mode == T.INHERIT
     assert plan(last_used=[]).mode == T.GLOBAL and plan(last_used=[]).paths is None
+    goes_on = T.Route("followup", None, ["b"], [])
+    assert (plan(router=lambda: goes_on).mode, plan(router=lambda: goes_on).mentions) == (T.INHERIT, ["b"])
+    explicit = T.Route("followup", T.EXPLICIT, [], [])
+    assert (plan(router=lambda: explicit).paths, plan(router=lambda: explicit).mentions) == (["b"], ["b"])
+    assert plan(excluded=["gone"]).paths == files and plan(excluded=["gone"]).mode == T.EXPLICIT
+    two = T.Route("question", T.EXPLICIT, ["b", "a"], ["of b", "of a"])
+    assert plan(router=lambda: two, requested=["a", "b"]).queries == ["of a", "of b"]
     assert plan(excluded=files).no_context and plan(excluded=files, requested=["a"]).paths == ["a"]
     assert plan(use_session=False).intent == "question"
 
@@ -65,6 +72,19 @@ def test_section_gate_and_ids():
     assert T.parse_section_ids('{"found": false, "section_ids": ["s4"]}', ids) == [] and T.parse_section_ids("the notes here", ids) == ["x1"]
 
 
+def test_section_gate_by_the_rules():
+    outline = [("4", "Results"), ("5", "Ablation of the encoder")]
+    assert all(T.asks_for_section(q, outline) for q in ("第4章", "subsection two", "sections on data", "chapitre 4", "in B2.1", "about ablation of the encoders"))
+    assert not any(T.asks_for_section(q, outline) for q in ("part two", "a cross-section", "sectional", "GPT-4", "results", "第6章"))
+    assert T.section_references("section 4 and B.2, 3.1 or GPT-4 and 第7章") == ["4", "3.1", "7"]
+    assert T.names_document("what does My-File say", "a/my_file.pdf") and not T.names_document("what", "b.md")
+
+
+def test_condensed_questions():
+    assert T.condense("and b?", "h", lambda p: '"What about b?"') == "What about b?"
+    assert T.condense("and b?", "h", lambda p: "And b? : What is b?") == "What is b?" and T.condense("and b?", "h", lambda p: "and b?") == "and b?"
+
+
 def test_small_parsers():
     assert T.parse_grades('{"relevant_indices": [2, 0, 9, 2]}', 3) == [2, 0] and T.parse_grades("?", 2) == [0, 1]
     assert T.parse_intent("") == "chat" and T.parse_intent("It is a FollowUp.") == "followup" and T.parse_intent("hm") == "question"
