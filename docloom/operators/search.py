@@ -82,9 +82,15 @@ def counted(words: Column) -> Column:
     return F.when(F.size(words) > 0, _let(F.array_sort(words), of))
 
 
+def spread(rows: DataFrame) -> DataFrame:
+    """rows, dealt over all cores if they lie in fewer parts than there are cores (as in one small file); else as they are."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
+
+
 def postings(rows: DataFrame, id_col: str, text_col: str, *others: str) -> DataFrame:
     """(term, id, tf, length): one row for each different term of a row, counted without a shuffle."""
-    words = rows.select(id_col, *others, X.terms(F.col(text_col)).alias("w"))
+    words = spread(rows.select(id_col, *others, F.col(text_col).alias("_text"))).select(id_col, *others, X.terms(F.col("_text")).alias("w"))
     # explode_outer: explode would add filters that read the words again
     each = words.select(id_col, *others, F.size("w").alias("length"), F.explode_outer(counted(F.col("w"))).alias("c"))
     return each.where("c IS NOT NULL").select(F.col("c.term").alias("term"), id_col, F.col("c.tf").alias("tf"), "length", *others)

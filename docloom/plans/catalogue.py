@@ -192,7 +192,7 @@ WHERE length(t) > 0 AND 1800 * k < length(t)"""
 
 
 def _pieces(spark, sf_dir) -> DataFrame:
-    return files(spark, sf_dir).select("root", "path", "doc_id", "lang", F.posexplode(chunking.split_column(F.col("text"))).alias("k", "piece"))
+    return search.spread(files(spark, sf_dir)).select("root", "path", "doc_id", "lang", F.posexplode(chunking.split_column(F.col("text"))).alias("k", "piece"))
 
 
 @query(f"SELECT doc_id, CAST(k AS INTEGER) AS k, piece FROM ({_PIECES})")
