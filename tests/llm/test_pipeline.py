@@ -170,3 +170,21 @@ def test_bitmaps_never_exceed_the_difference():
         least = S.least_difference(S.parity_of(one), S.parity_of(two))
         assert least <= a + b and (a + b) % 2 == least % 2
         assert least >= 0.6 * (a + b) or min(a, b) + common < (a + b) / 2
+
+
+def test_stages_on_odd_rows(spark, tmp_path):
+    rows = [(1, None, "en", None, None, "a"), (2, "", "en", "s", 0, "b"), (2, "", "en", "s", 0, "b"), (None, "mail a@b.co", None, "s", 11, "c"), (3, "w " * 30000, "en", "t", 60000, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, near_node string")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    want = {"toxicity": 5, "simhash_dedup": 3, "pii": 5, "mixing": 5, "bpe": 5}
+    for name, stage in C.STAGES:
+        out = stage(spark, docs, str(tmp_path))
+        got = out.collect()
+        assert len(got) >= want[name] and (name == "mixing" or len(got) == want[name]), (name, len(got))
+        assert stage(spark, docs.limit(0), str(tmp_path)).count() == 0
+        if name != "bpe":
+            assert out.columns == docs.columns
+        if name == "pii":
+            assert {(r.text or "")[:12] for r in got if r.doc_id is None} == {"mail <email>"} and {r.text for r in got if r.doc_id == 1} == {None}
+        if name == "bpe":
+            assert all(r.round_trip for r in got) and {r.n_tokens for r in got if r.doc_id in (1, 2)} == {0}
