@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import free_name, materialize
+from .common import bound_batches, free_name, materialize
 
 SEED = 42
 SEGMENT_BITS = 32
@@ -363,6 +363,7 @@ def near_copy_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     Texts are linked if the Jaccard similarity of their sets of shingles is at least `similarity`.  Links are
     proposed by SimHash fingerprints, then by an exact join of the texts that these leave apart, and verified
     on the whole sets.  Equal texts are linked, null texts are empty ones."""
+    bound_batches(docs.sparkSession)
     text = F.coalesce(F.col(text_col), F.lit(""))
     full = docs.select(F.col(id_col).alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("node"))
     rows = materialize(full.select("doc_id", "node"))

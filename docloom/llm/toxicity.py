@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import free_name
+from .common import bound_batches, free_name
 
 POSITIVES, NEGATIVES = 800, 1600
 FEATURE_BITS = 18
@@ -35,7 +35,7 @@ LEAST_DOCUMENTS, LEAST_ODDS = 3, 60.0
 SEEN_SHARE = 0.2
 ROUNDS = 25
 SPAN_AT = 0.5
-TOKENS_AT_ONCE = 400_000
+TOKENS_AT_ONCE = 100_000
 #: Training passes over so many tokens at once, which bounds what the driver holds.
 TRAIN_AT_ONCE = 100_000
 CACHE = 300_000
@@ -312,6 +312,7 @@ def sample_labels(docs: DataFrame, labels: DataFrame, label: str, folds: int, he
 
 def tag_column(spark: SparkSession, model: Model, column):
     """struct<toxicity, toxic_tokens, toxic_spans (start, end in code points, chance)> of a text column."""
+    bound_batches(spark)
     sent = spark.sparkContext.broadcast(model)
     kind = "struct<toxicity:double, toxic_tokens:int, toxic_spans:array<struct<start:int, end:int, chance:double>>>"
 
