@@ -15,7 +15,7 @@ import public_tokenizers
 from pyspark.sql import functions as F
 
 from docloom.llm import bpe, mixing, pii, simhash, toxicity
-from docloom.llm.common import materialize, table
+from docloom.llm.common import bound_batches, materialize, table
 
 
 def drop_toxic(spark, docs, sf_dir):
@@ -38,6 +38,7 @@ def mask_personal_data(spark, docs, sf_dir):
     """Personal data in the texts becomes the name of its kind; n_chars follows the text, null for a null text.
 
     Where spans overlap their union is replaced, named by the first."""
+    bound_batches(spark)
     masked = docs.withColumn("text", pii.masked_column(F.col("text")))
     return masked.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
 
@@ -53,6 +54,7 @@ def encode_tokens(spark, docs, sf_dir):
     """Token ids of the texts (packed), and whether they decode to the same bytes.
 
     Rows stay one by one; other columns than doc_id, lang, source are left out here."""
+    bound_batches(spark)
     path = public_tokenizers.path("byte_bpe_50k.tiktoken")
     made = docs.select(
         "doc_id",
