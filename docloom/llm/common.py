@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 
 #: Text that a Python worker is handed at once, unless the session sets a bound.
-BATCH_BYTES = 4 << 20
+BATCH_BYTES = 2 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:

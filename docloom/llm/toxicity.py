@@ -38,7 +38,7 @@ SPAN_AT = 0.5
 TOKENS_AT_ONCE = 100_000
 #: Training passes over so many tokens at once, which bounds what the driver holds.
 TRAIN_AT_ONCE = 100_000
-CACHE = 300_000
+CACHE = 100_000
 WORD = re.compile(r"\w+")
 
 
