@@ -17,9 +17,10 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from docloom.functions import ids
 from docloom.functions import text as X
 from docloom.operators import cards, chunking, context, search, structure, sync
-from docloom.sources import files, stores
+from docloom.sources import embedders, files, pictures, stores
 
 from . import graph, turn
 from .jobs import WRITER
@@ -29,7 +30,7 @@ STATE = "root string, part int, path string, size long, mtime_ns long, content_h
 POSTINGS = "root string, part int, path string, chunk_id string, term string, tf long, length int"
 VECTORS = "root string, part int, path string, chunk_id string, text_sha string, dense array<float>"
 CARDS = "root string, part int, path string, summary string, file_hash string, made_at long"
-IMAGES = "root string, part int, path string, asset_id string, image_path string, width int, height int, caption string"
+IMAGES = "root string, part int, path string, asset_id string, file_name string, image_path string, width int, height int, entropy double, ink double, sha256 string, caption string, data binary"
 _CHUNKS = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in chunking.CHUNK) + ", part int"
 TOP_K, ASK_K, FEW_FILES = 5, 8, 1000
 
@@ -83,6 +84,12 @@ class Engine:
     def images(self, root: str) -> DataFrame:
         return self._load("images", IMAGES).where(F.col("root") == root)
 
+    def image(self, root: str, image_id: str = "", image_path: str = "") -> dict | None:
+        """A stored picture with its bytes, by its id or by its path; None if there is none."""
+        known = self.images(root).where((F.col("asset_id") == image_id) | (F.col("image_path") == image_path) if image_path else F.col("asset_id") == image_id)
+        row = known.drop("part").limit(1).first()
+        return None if row is None else row.asDict() | {"data": bytes(row["data"])}
+
     def sync(self, folder: str) -> DataFrame:
         """Bring the index in line with the folder; gives the counts by kind of change.
 
@@ -122,7 +129,15 @@ class Engine:
     def _index(self, root: str, documents: DataFrame, gone: DataFrame, parts: DataFrame) -> None:
         """Chunks, postings and vectors of documents in place of those of gone; only parts are read and written."""
         inside = lambda df: df.where(F.col("root") == root).join(parts, ["root", "part"], "left_semi")
-        new = chunking.chunk_frame(documents).withColumn("part", _part()).cache()
+        file = ids.file_id(F.col("root"), F.col("path"))
+        pictured = documents.select("root", "path", "text", pictures.kept(F.col("pictures"), file).alias("pictures"))
+        named = F.transform("pictures", lambda x: F.struct(x["image_path"].alias("image_path"), F.lit(None).cast("string").alias("caption")))
+        new = chunking.chunk_frame(pictured.select("root", "path", "text", named.alias("images"))).withColumn("part", _part()).cache()
+        shots = pictured.select("root", "path", F.posexplode("pictures").alias("k", "x")).select("root", "path", ids.image_id(file, F.col("k")).alias("asset_id"), "x.*")
+        shots = shots.withColumns({"part": _part(), "caption": F.lit(None).cast("string")}).select(*_names(IMAGES))
+        known_images = inside(self._load("images", IMAGES))
+        if known_images.limit(1).count() or shots.limit(1).count():
+            self._replace("images", sync.replace_by_key(known_images, shots, sync.KEY, gone).select(*_names(IMAGES)), parts)
         self._replace("chunks", sync.replace_by_key(inside(self.chunks), new, sync.KEY, gone).select(*_names(_CHUNKS)), parts)
         terms = search.postings(new, "chunk_id", "text", "root", "part", "path")
         self._replace("postings", sync.replace_by_key(inside(self._load("postings", POSTINGS)), terms.select(*_names(POSTINGS)), sync.KEY, gone), parts)
@@ -232,7 +247,7 @@ class Engine:
 
     def embedded(self, rows: DataFrame) -> DataFrame:
         """rows with dense: the vector of their text."""
-        embed = self.embed
+        embed = embedders.Retrying(self.embed)
 
         @F.pandas_udf("array<float>")
         def vectors(texts: pd.Series) -> pd.Series:
@@ -266,7 +281,7 @@ class Engine:
     def nearest(self, question: str, scope, k: int) -> DataFrame:
         """chunk_id and semantic_score of the k stored vectors nearest to a question."""
         vectors = self._load("vectors", VECTORS).where(scope)
-        return search.dense_topk(vectors, self.embed([question])[0], k, "chunk_id").select("chunk_id", "semantic_score")
+        return search.dense_topk(vectors, embedders.Retrying(self.embed)([question])[0], k, "chunk_id").select("chunk_id", "semantic_score")
 
     def dense_search(self, question: str, root: str | None = None, paths: list[str] | None = None, k: int = TOP_K) -> DataFrame:
         """As search, by vectors alone."""

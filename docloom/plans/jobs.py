@@ -43,6 +43,15 @@ class Jobs:
             job["error"], job["status"] = f"{type(e).__name__}: {e}", "failed"
         job["finished"] = time.time()
 
+    def wait_idle(self, timeout: float | None = None) -> bool:
+        """Wait until no job is queued or running; false if the time (seconds) runs out before."""
+        end = None if timeout is None else time.monotonic() + timeout
+        while any(job["finished"] is None for job in list(self.jobs.values())):
+            if end is not None and time.monotonic() >= end:
+                return False
+            time.sleep(0.02)
+        return True
+
     def get(self, key: str) -> dict | None:
         return self.jobs.get(key)
 

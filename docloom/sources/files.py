@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from docloom.functions import text as X
 
+from . import pictures
 from .decoders import SUFFIXES, markdown_of
 
 CONTENT_BYTES, LISTED = 4_000_000, 300
@@ -94,8 +95,9 @@ def read_content(spark: SparkSession, root: str, path: str, most: int = CONTENT_
 
 
 def read_documents(spark: SparkSession, root: str, decoders=None, paths: list[str] | None = None) -> DataFrame:
-    """root, path, text, error, content_hash of the files below root (or of paths alone), decoded on the executors."""
+    """root, path, text, error, content_hash, pictures of the files below root (or of paths alone), decoded on the executors."""
     files = scan(spark, root, content=True, paths=paths)
     return files.select(
-        "root", "path", "size", "mtime_ns", F.sha2("content", 256).alias("content_hash"), markdown_of(F.col("ext"), F.col("content"), decoders).alias("d")
-    ).select("root", "path", "size", "mtime_ns", "content_hash", F.make_valid_utf8("d.text").alias("text"), "d.error")
+        "root", "path", "size", "mtime_ns", F.sha2("content", 256).alias("content_hash"), markdown_of(F.col("ext"), F.col("content"), decoders).alias("d"),
+        pictures.pictures(F.col("ext"), F.col("content")).alias("found"),
+    ).select("root", "path", "size", "mtime_ns", "content_hash", F.make_valid_utf8("d.text").alias("text"), "d.error", pictures.judged(F.col("found")).alias("pictures"))
