@@ -22,7 +22,7 @@ from docloom.functions import text as X
 from docloom.operators import cards, chunking, context, search, structure, sync
 from docloom.sources import embedders, files, pictures, stores
 
-from . import graph, turn
+from . import graph, turn, watch
 from .jobs import WRITER
 
 PARTS = 64
@@ -175,6 +175,10 @@ class Engine:
                 df.unpersist()
             return counts
 
+    def watch(self, folder: str, every: float = watch.EVERY) -> watch.Watch:
+        """Started watch that keeps the index in line with a folder; stop() ends it."""
+        return watch.Watch(lambda: self.sync(folder), every).start()
+
     def drop_root(self, root: str) -> None:
         """Forget a folder: every part of it is left empty."""
         with WRITER:
