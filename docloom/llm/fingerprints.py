@@ -21,6 +21,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import bound_batches
+
 SAMPLES = 128
 TABLE = 70_000  # terms remembered by process; 12 * SAMPLES bytes each
 STEP = 8_000  # terms of one text taken at a time
@@ -121,6 +123,14 @@ def edited(text: str, following: str) -> str:
     return text[: len(text) - half] + following[:half]
 
 
+def _count_below(cuts: np.ndarray, value):
+    """How many of the sorted cuts are less than value, by halving; a column, so that rows do not pass through Python."""
+    if not len(cuts):
+        return F.lit(0)
+    steps = F.array(*(F.lit(1 << k) for k in reversed(range(len(cuts).bit_length()))))
+    return F.aggregate(steps, F.lit(0), lambda at, step: F.when(F.get(F.lit(cuts), at + step - 1) < value, at + step).otherwise(at))
+
+
 def _placed(docs: DataFrame) -> DataFrame:
     """docs with bucket and ahead; the first row of each bucket also stands, ahead, at the end of the one before.
 
@@ -132,31 +142,24 @@ def _placed(docs: DataFrame) -> DataFrame:
     cuts = docs.where("NOT none").approxQuantile("id", [i / buckets for i in range(1, buckets)], 0.2 / buckets) if rows else []
     cuts = np.unique(np.array([min(int(c), 2**63 - 1) for c in cuts], np.int64))
 
-    def bucket_of(ids: pd.Series, none: pd.Series) -> np.ndarray:
-        return np.where(none.to_numpy(bool), len(cuts) + 1, len(cuts) - np.searchsorted(cuts, ids.to_numpy(np.int64), "left"))
-
-    bucket = F.pandas_udf(lambda ids, none: pd.Series(bucket_of(ids, none)), "int")
+    below = _count_below(cuts, F.col("id"))
+    docs = docs.withColumn("bucket", F.when(F.col("none"), len(cuts) + 1).otherwise(len(cuts) - below))
     heads = (
-        docs.select("id", "none", "tie", bucket("id", "none").alias("bucket"))
-        .groupBy("bucket")
+        docs.groupBy("bucket")
         .agg(F.min(F.struct("none", F.bitwise_not("id").alias("down"), "tie")).alias("head"))  # least of ~id: greatest id
         .collect()  # a row for each bucket
     )
     heads = sorted((h["bucket"], h["head"]["none"], ~h["head"]["down"], h["head"]["tie"]) for h in heads)
-    before = {tuple(head): heads[k - 1][0] for k, (_, *head) in enumerate(heads)}
-
-    @F.pandas_udf("array<struct<bucket:int, ahead:int>>")
-    def places(ids: pd.Series, none: pd.Series, ties: pd.Series) -> pd.Series:
-        out = []
-        for own, head in zip(bucket_of(ids, none).tolist(), zip(none.tolist(), ids.tolist(), ties.tolist())):
-            spots = [{"bucket": own, "ahead": 0}]
-            if head in before:
-                spots.append({"bucket": before[head], "ahead": 1})
-            out.append(spots)
-        return pd.Series(out, dtype=object)
+    ids, ties, before = (np.zeros(len(cuts) + 2, np.int64) for _ in range(3))
+    for k, (own, _, i, tie) in enumerate(heads):
+        ids[own], ties[own], before[own] = i, tie, heads[k - 1][0]
+    of = lambda values: F.get(F.lit(values), F.col("bucket"))
+    spot = lambda bucket, ahead: F.struct(bucket.cast("int").alias("bucket"), F.lit(ahead).alias("ahead"))
+    own, ahead = spot(F.col("bucket"), 0), spot(of(before), 1)
+    head = (F.col("id") == of(ids)) & (F.col("tie") == of(ties))
 
     return (
-        docs.withColumn("place", F.explode(places("id", "none", "tie")))
+        docs.withColumn("place", F.explode(F.when(head, F.array(own, ahead)).otherwise(F.array(own))))
         .select("id", "none", "text", "tie", "place.bucket", "place.ahead")
         .repartitionById(len(cuts) + 2, F.col("bucket"))
         .sortWithinPartitions("bucket", "ahead", "none", F.col("id").desc(), "tie", "text")
@@ -176,6 +179,7 @@ def fingerprint_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str
     first, which for a single row is itself.  Ids are longs (others that are no whole numbers: an error of the
     cast).  Null texts are empty; texts without words have a fingerprint of
     zeros; repeated rows stay; an empty table gives no rows; other columns are not read."""
+    bound_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     placed = _placed(rows.withColumn("tie", F.xxhash64("text")))
 

@@ -3,8 +3,11 @@ import random
 from collections import Counter
 
 import numpy as np
+import pandas as pd
+from pyspark.sql import functions as F
 
 from docloom.llm import fingerprints as P
+from docloom.llm.common import BATCH_BYTES
 
 
 def jaccard(a, b):
@@ -97,3 +100,33 @@ def test_ids_stay_longs(spark):
     by_id = {r.doc_id: r for r in got}
     for i, j in zip(order, order[1:]):
         assert by_id[i].edited_sha256 == hashlib.sha256(P.edited(text[i], text[j]).encode()).hexdigest()
+
+
+def test_batches_are_bounded_by_bytes(spark, monkeypatch):
+    spark.conf.unset("spark.sql.execution.arrow.maxBytesPerBatch")  # other tests may have left a bound
+    frame = type(spark.range(0))
+
+    def sizes(frames):
+        for f in frames:
+            yield pd.DataFrame({"size": [int(f["text"].str.len().sum())]})
+
+    monkeypatch.setattr(frame, "mapInPandas", lambda df, walk, schema, f=frame.mapInPandas: f(df, sizes, "size long"))
+    df = spark.range(400).select(F.col("id").alias("doc_id"), F.repeat(F.lit("ab cd "), 10_000).alias("text"))
+    got = [r["size"] for r in P.fingerprint_documents(df).collect()]
+    assert sum(got) >= 400 * 60_000 and max(got) <= BATCH_BYTES + 60_000
+
+
+def test_buckets_by_halving(spark):
+    rng = random.Random(3)
+    ids = [-(2**63), -1, 0, 1, 2**53, 2**53 + 1, 2**63 - 1] + [rng.randrange(-50, 50) for _ in range(60)]
+    df = spark.createDataFrame([(i,) for i in ids], "id long")
+    for n in (0, 1, 2, 7, 8, 40):
+        cuts = np.unique(np.array([rng.choice(ids) for _ in range(n)], np.int64))
+        got = [tuple(r) for r in df.select("id", P._count_below(cuts, F.col("id"))).collect()]
+        assert got == [(i, int(np.searchsorted(cuts, i, "left"))) for i in ids]
+
+
+def test_texts_pass_through_python_once(spark):
+    df = spark.createDataFrame([(i, f"text {i}") for i in range(50)], "doc_id long, text string")
+    plan = P.fingerprint_documents(df)._jdf.queryExecution().executedPlan().toString()
+    assert "ArrowEvalPython" not in plan and plan.count("MapInPandas") == 1
