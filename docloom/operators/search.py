@@ -112,6 +112,11 @@ def bm25(
     Only the postings of asked terms are kept, once for both readings of them: document frequencies and scores."""
     asked = asked_terms(queries)
     hits = index.join(checked(asked.select("term").distinct()), "term", "left_semi").persist()
+    return _weighed(hits, asked, total, id_col, k1, b, average_length)
+
+
+def _weighed(hits: DataFrame, asked: DataFrame, total: int, id_col: str, k1: float = 1.2, b: float = 0.75, average_length: float = 256.0) -> DataFrame:
+    """query_id, id, score by the postings of asked terms alone."""
     df = hits.groupBy("term").agg(F.count("*").alias("df"))
     idf = F.log(1 + (total - F.col("df") + 0.5) / (F.col("df") + 0.5))
     weight = F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("length") / average_length))
@@ -124,6 +129,31 @@ def top_per_query(scored: DataFrame, k: int, id_col: str, score_col: str = "scor
     return scored.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
+def term_counts(rows: DataFrame, terms: list[str], id_col: str, text_col: str) -> DataFrame:
+    """(id, length, c): of every row the number of its terms, and those of the given ones that it has as array<struct<term, tf>>, null for none."""
+    words = spread(rows.select(id_col, F.col(text_col).alias("_text"))).select(id_col, X.terms(F.col("_text")).alias("w"))
+    return words.select(id_col, F.size("w").alias("length"), counted(F.filter("w", lambda w: w.isin(terms))).alias("c"))
+
+
+def bm25_topk(rows: DataFrame, queries: DataFrame, k: int, id_col: str, text_col: str) -> DataFrame:
+    """query_id, id, score, rank: the k best of rows for each query (query_id, query), as top_per_query of bm25 of their postings.
+
+    The texts are read once, here, and of each row only asked terms are counted and kept; the k rows of a query come
+    to the driver, so that what is done with them does not rank again.  Beyond BROADCAST_ROWS queries or terms, both
+    are left to later and to all postings."""
+    asked = asked_terms(queries)
+    terms = [r["term"] for r in asked.select("term").distinct().limit(BROADCAST_ROWS + 1).collect()]
+    if len(terms) > BROADCAST_ROWS or queries.limit(BROADCAST_ROWS + 1).count() > BROADCAST_ROWS:
+        return top_per_query(bm25(postings(rows, id_col, text_col), queries, rows.count(), id_col), k, id_col)
+    counts = term_counts(rows, terms, id_col, text_col).persist()
+    total = counts.count()
+    hits = counts.select(id_col, "length", F.explode("c").alias("c")).select("c.term", id_col, "c.tf", "length")
+    best = top_per_query(_weighed(hits, asked, total, id_col), k, id_col)
+    found = rows.sparkSession.createDataFrame(best.collect(), best.schema)
+    counts.unpersist()
+    return found
+
+
 def fuse(rankings: list[DataFrame], id_col: str, rrf_k: int = 2, first_rank: int = 0) -> DataFrame:
     """Reciprocal rank fusion of rankings (query_id, id, rank from 1): sum of 1 / (rrf_k + rank).
 

@@ -191,8 +191,11 @@ FROM (SELECT doc_id, source, lang, trim(text, ' ') AS t FROM documents), range(0
 WHERE length(t) > 0 AND 1800 * k < length(t)"""
 
 
-def _pieces(spark, sf_dir) -> DataFrame:
-    return search.spread(files(spark, sf_dir)).select("root", "path", "doc_id", "lang", F.posexplode(chunking.split_column(F.col("text"))).alias("k", "piece"))
+def _pieces(spark, sf_dir, of: DataFrame | None = None) -> DataFrame:
+    docs = files(spark, sf_dir)
+    if of is not None:
+        docs = docs.join(F.broadcast(of), ids.file_id(F.col("root"), F.col("path")) == F.col("file_id"), "left_semi")
+    return search.spread(docs).select("root", "path", "doc_id", "lang", F.posexplode(chunking.split_column(F.col("text"))).alias("k", "piece"))
 
 
 @query(f"SELECT doc_id, CAST(k AS INTEGER) AS k, piece FROM ({_PIECES})")
@@ -206,10 +209,10 @@ SELECT doc_id, md5(source || chr(10) || 'doc-' || doc_id || '.md') || ':' || (k
        '[Document: doc-' || doc_id || '.md | Section: ' || lang || ']' || chr(10) || chr(10) || piece AS text FROM ({_PIECES})"""
 
 
-def _chunks(spark, sf_dir) -> DataFrame:
-    """Chunk rows of the documents, without leaving the JVM."""
+def _chunks(spark, sf_dir, of: DataFrame | None = None) -> DataFrame:
+    """Chunk rows of the documents, without leaving the JVM; of: few file_id, beside which no text is cut."""
     seq = (F.col("k") + 1).cast("int")
-    return _pieces(spark, sf_dir).select(
+    return _pieces(spark, sf_dir, of).select(
         "doc_id",
         ids.chunk_id(ids.file_id(F.col("root"), F.col("path")), seq).alias("chunk_id"),
         "root",
@@ -268,8 +271,7 @@ WHERE rank <= {k}"""
 def _bm25(spark, sf_dir, k: int) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     asked = spark.createDataFrame(_ASKED, "query_id int, query string")
-    scored = search.bm25(search.postings(docs, "doc_id", "text"), asked, docs.count(), "doc_id")
-    return search.top_per_query(scored, k, "doc_id")
+    return search.bm25_topk(docs, asked, k, "doc_id", "text")
 
 
 @query(_ranked_sql(10))
@@ -461,12 +463,12 @@ def budgeted_union(spark, sf_dir):
 _HITS = f"SELECT h.query_id, h.rank, h.score, c.* FROM ({_ranked_sql(5, f'({_CHUNKS})', 'chunk_id')}) h JOIN ({_CHUNKS}) c USING (chunk_id)"
 
 
-def _hit_chunks(spark, sf_dir) -> DataFrame:
-    """The five chunks that answer each asked query best, by rank."""
-    chunks = _chunks(spark, sf_dir)
+def _hit_chunks(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    """The five chunks that answer each asked query best, by rank; and all chunks of their files."""
     asked = spark.createDataFrame(_ASKED, "query_id int, query string")
-    scored = search.bm25(search.postings(chunks, "chunk_id", "text"), asked, chunks.count(), "chunk_id")
-    return search.top_per_query(scored, 5, "chunk_id").join(chunks, "chunk_id")
+    best = search.bm25_topk(_chunks(spark, sf_dir), asked, 5, "chunk_id", "text")
+    near = _chunks(spark, sf_dir, best.select(F.split_part("chunk_id", F.lit(":"), F.lit(1)).alias("file_id")).distinct())
+    return F.broadcast(best).join(near, "chunk_id"), near
 
 
 @query(f"""
@@ -481,8 +483,8 @@ r AS (SELECT DISTINCT query_id, 0 AS i, CAST([] AS VARCHAR[]) AS ids FROM sides
 last AS (SELECT query_id, arg_max(ids, i) AS ids FROM r GROUP BY query_id)
 SELECT query_id, CAST(o AS INTEGER) AS ord, ids[o] AS chunk_id FROM last, range(1, 17) AS t(o) WHERE o <= len(ids)""")
 def small_to_big(spark, sf_dir):
-    hits = _hit_chunks(spark, sf_dir).withColumnRenamed("section_heading", "section_id")
-    return context.expand(hits, _chunks(spark, sf_dir).withColumnRenamed("section_heading", "section_id"), of="query_id").select("query_id", "ord", "chunk_id")
+    hits, chunks = (rows.withColumnRenamed("section_heading", "section_id") for rows in _hit_chunks(spark, sf_dir))
+    return context.expand(hits, chunks, of="query_id").select("query_id", "ord", "chunk_id")
 
 
 #: Hits of one section that are each other's neighbours: the cases that tell the rule apart.
@@ -514,7 +516,7 @@ SELECT query_id, CAST(rank AS INTEGER) AS n, '[Source ' || rank || ']' || chr(10
   || 'Breadcrumbs: ' || section_heading || chr(10) || 'Score: ' || printf('%.4f', round(CAST(score AS DECIMAL(18, 6)), 4)) || chr(10) || 'Text: ' || text AS block FROM ({_HITS})""")
 def context_format(spark, sf_dir):
     """Prompt blocks of the best chunks for each asked query."""
-    hits = _hit_chunks(spark, sf_dir).withColumns({"url": F.col("path"), "section_titles": F.array("section_heading")})
+    hits = _hit_chunks(spark, sf_dir)[0].withColumns({"url": F.col("path"), "section_titles": F.array("section_heading")})
     return context.format_context(hits, of="query_id")
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from docloom.functions import text as X
 from docloom.functions import vector
 from docloom.operators import assets, cards, context, evaluate, search, sync
+from docloom.plans import catalogue
 
 
 def one(spark, column):
@@ -34,6 +35,26 @@ def test_bm25_matches_plain_python(spark):
         assert got.get(i, 0) == pytest.approx(want, abs=2e-6)
 
 
+def test_bm25_topk_is_the_top_of_bm25(spark):
+    rng = random.Random(2)
+    docs = [(i % 50, " ".join(rng.choice("red green blue tree sun moon".split()) for _ in range(rng.randint(0, 30)))) for i in range(60)] + [(60, None), (61, "Tree-tree, RED")]
+    df = spark.createDataFrame(docs, "id int, text string")
+    asked = spark.createDataFrame([(1, "Red tree tree"), (2, ""), (3, "sun"), (4, "absent")], "query_id int, query string")
+    kept = spark.sparkContext._jsc.getPersistentRDDs().size()
+    got = search.bm25_topk(df, asked, 7, "id", "text")
+    assert spark.sparkContext._jsc.getPersistentRDDs().size() == kept
+    want = search.top_per_query(search.bm25(search.postings(df, "id", "text"), asked, df.count(), "id"), 7, "id")
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.select(*got.columns).collect()))
+    assert search.bm25_topk(df, asked.where("query_id = 2"), 7, "id", "text").count() == 0
+
+
+def test_hits_are_ranked_once(spark):
+    """What follows the ranking neither ranks again nor cuts texts of files without a hit."""
+    for name in ("small_to_big", "context_format"):
+        plan = catalogue.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+        assert "regexp_extract_all" not in plan and plan.count("LeftSemi") >= plan.count("Relation ["), name
+
+
 def test_sizes_and_fusion(spark):
     assert search.fetch_sizes(5) == (15, 30) and search.fetch_sizes(8) == (24, 48) and search.fetch_sizes(1) == (11, 22)
     a = spark.createDataFrame([(1, "x", 1, 0.9), (1, "y", 2, 0.8)], "query_id int, id string, rank int, semantic_score double")
