@@ -52,11 +52,14 @@ def split_text(text: str | None, target: int = TARGET, most: int = MOST) -> list
     return out + ([packed] if packed else [])
 
 
+def _strip(c: Column) -> Column:
+    """White space off both ends; only texts that have some there are searched."""
+    ends = F.concat(F.left(c, F.lit(1)), F.right(c, F.lit(1)))
+    return F.when(ends.rlike(r"(?U)[\s\x1c-\x1f]"), F.regexp_replace(c, r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+\z", "")).otherwise(c)
+
+
 def split_column(text: Column, target: int = TARGET, most: int = MOST) -> Column:
-    """split_text as a fold in the JVM."""
-    strip = lambda c: F.regexp_replace(c, r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+\z", "")
-    trimmed = strip(text)
-    paragraphs = F.filter(F.transform(F.split(trimmed, "\n\n"), strip), lambda p: p != "")
+    """split_text as a fold in the JVM; the text is stripped once."""
     start = F.struct(F.array().cast("array<string>").alias("out"), F.lit("").alias("packed"))
     done = lambda s: F.when(s["packed"] == "", s["out"]).otherwise(F.concat(s["out"], F.array(s["packed"])))
     cut = lambda p: F.transform(F.sequence(F.lit(0), F.floor((F.length(p) - 1) / most).cast("int")), lambda k: F.substring(p, k * most + 1, F.lit(most)))
@@ -69,8 +72,12 @@ def split_column(text: Column, target: int = TARGET, most: int = MOST) -> Column
             .otherwise(F.struct(done(s).alias("out"), p.alias("packed")))
         )
 
-    folded = F.aggregate(paragraphs, start, step, done)
-    return F.when(F.coalesce(trimmed, F.lit("")) == "", F.array().cast("array<string>")).when(F.length(trimmed) <= most, F.array(trimmed)).otherwise(folded)
+    def pieces(trimmed):
+        paragraphs = F.filter(F.transform(F.split(trimmed, "\n\n"), _strip), lambda p: p != "")
+        folded = F.aggregate(paragraphs, start, step, done)
+        return F.when(F.coalesce(trimmed, F.lit("")) == "", F.array().cast("array<string>")).when(F.length(trimmed) <= most, F.array(trimmed)).otherwise(folded)
+
+    return F.get(F.transform(F.array(_strip(text)), pieces), F.lit(0))
 
 
 def context_header(name: str, crumbs: list[str]) -> str:

@@ -195,7 +195,8 @@ def _pieces(spark, sf_dir, of: DataFrame | None = None) -> DataFrame:
     docs = files(spark, sf_dir)
     if of is not None:
         docs = docs.join(F.broadcast(of), ids.file_id(F.col("root"), F.col("path")) == F.col("file_id"), "left_semi")
-    return search.spread(docs).select("root", "path", "doc_id", "lang", F.posexplode(chunking.split_column(F.col("text"))).alias("k", "piece"))
+    # posexplode would add a filter that cuts the texts again
+    return search.spread(docs).select("root", "path", "doc_id", "lang", F.posexplode_outer(chunking.split_column(F.col("text"))).alias("k", "piece")).where("k IS NOT NULL")
 
 
 @query(f"SELECT doc_id, CAST(k AS INTEGER) AS k, piece FROM ({_PIECES})")

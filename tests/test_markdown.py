@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 from docloom.operators import chunking as C
 from docloom.operators import markdown as M
 from docloom.operators import structure as S
+from docloom.plans import catalogue
 
 PAGE = """# Top
 
@@ -146,6 +147,15 @@ def test_split_one_paragraph(n, sizes):
     assert [len(p) for p in C.split_text("a" * n)] == sizes
 
 
+def test_split_strips_a_text_once(spark):
+    spaces = " \t\n\x0b\x0c\r\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2003\u2028\u2029\u202f\u205f\u3000"
+    odd = [None, "", spaces, *(f"{c}a b{c}" for c in spaces), *(f"a{c}" for c in spaces), "\u200bx\u200b", f"{spaces}{'x' * 1801}{spaces}\n\n{spaces}y", "\U0001f600 " * 950 + "\n\n z\n\n"]
+    rows = spark.createDataFrame(list(enumerate(odd)), "id int, text string").select("id", C.split_column(F.col("text")).alias("x")).collect()
+    assert [r.x for r in sorted(rows)] == [C.split_text(t) for t in odd]
+    plan = catalogue.split_text_chunks(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_replace(") == 2  # of the text and of its paragraphs
+
+
 def test_split_packs_paragraphs(spark):
     texts = ["\n\n".join(p) for p in (["b" * 700, "c" * 400, "d" * 1300, "e" * 2000], ["x" * 600] * 5, ["", "y" * 1799, " ", "z"], ["q" * 1799])]
     assert [len(p) for p in C.split_text(texts[0])] == [1102, 1300, 1800, 200]
