@@ -8,9 +8,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-
-#: Text that a Python worker is handed at once, unless the session sets a bound.
-BATCH_BYTES = 2 << 20
+from docloom.functions.batches import BATCH_BYTES, bound_batches  # noqa: F401
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -25,15 +23,6 @@ def shared_dir(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
-def bound_batches(spark: SparkSession) -> None:
-    """Bound the batches to Python workers by bytes: 10000 rows, Spark's bound, are of any size.
-
-    A bound that the session has already is left as it is."""
-    key = "spark.sql.execution.arrow.maxBytesPerBatch"
-    if spark.conf.get(key, None) is None:
-        spark.conf.set(key, BATCH_BYTES)
-
-
 def materialize(df: DataFrame) -> DataFrame:
     """Write df to the shared folder and read it back, so that its lineage ends in files."""
     spark = df.sparkSession

@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from docloom.functions.batches import bound_batches
+
 from . import markdown, structure
 
 TARGET, MOST = 1200, 1800
@@ -171,6 +173,7 @@ def chunk_frame(docs: DataFrame) -> DataFrame:
     """Chunks of docs (root, path, text): one pass over the rows, no shuffle; a document is chunked within its row.
 
     docs may have images, an array of structs with image_path and caption: they end their document as stubs."""
+    bound_batches(docs.sparkSession)
     names = CHUNK.fieldNames()
     pictured = "images" in docs.columns
 

@@ -90,8 +90,9 @@ def html_boilerplate_strip(spark, sf_dir):
 
 @query()
 def html_to_blocks(spark, sf_dir):
-    pages = table(spark, sf_dir, "pages").select("page_id", decoders.markdown_of(F.lit(".html"), F.encode("html", "UTF-8")).alias("d"))
-    return markdown.block_rows(pages.select("page_id", F.col("d.text").alias("text"))).select("page_id", "pos", "type", "level", "text", "rows")
+    pages = table(spark, sf_dir, "pages").select("page_id", F.encode("html", "UTF-8").alias("content"))
+    blocks = decoders.blocks_of(F.lit(".html"), F.col("content"))
+    return markdown.exploded(pages, blocks, "content").select("page_id", "pos", "type", "level", "text", "rows")
 
 
 def _region_table(spark, sf_dir) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docloom.functions import text as X
+from docloom.functions.batches import bound_batches
 
 from . import pictures
 from .decoders import SUFFIXES, markdown_of
@@ -96,6 +97,7 @@ def read_content(spark: SparkSession, root: str, path: str, most: int = CONTENT_
 
 def read_documents(spark: SparkSession, root: str, decoders=None, paths: list[str] | None = None) -> DataFrame:
     """root, path, text, error, content_hash, pictures of the files below root (or of paths alone), decoded on the executors."""
+    bound_batches(spark)
     files = scan(spark, root, content=True, paths=paths)
     return files.select(
         "root", "path", "size", "mtime_ns", F.sha2("content", 256).alias("content_hash"), markdown_of(F.col("ext"), F.col("content"), decoders).alias("d"),

@@ -1,8 +1,13 @@
 import io
 import zipfile
 
+import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
+from docloom.functions.batches import BATCH_BYTES
+from docloom.operators import markdown
+from docloom.plans import catalogue
 from docloom.plans.engine import Engine
 from docloom.sources import decoders, files, stores
 
@@ -65,6 +70,27 @@ def test_errors_stay_in_their_row(spark, folder):
     assert rows["a.md"].error is None and rows["c.docx"].text.startswith("# Title")
 
 
+def test_blocks_of_files_in_one_bounded_pass(spark, tmp_path):
+    spark.conf.unset("spark.sql.execution.arrow.maxBytesPerBatch")  # other tests may have left a bound
+    page = "<h2>H &amp; i</h2><p>one<br>two</p><table><tr><td>1</td></tr></table><!-- c --><p># x</p>" * 200
+    spark.range(0, 400, 1, 1).select(F.col("id").alias("page_id"), F.when(F.col("id") > 2, F.lit(page)).when(F.col("id") == 1, F.lit("")).alias("html")).write.parquet(f"{tmp_path}/pages.parquet")
+    df = catalogue.html_to_blocks(spark, str(tmp_path))
+    assert df._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython") == 1
+    want = markdown.parse_blocks(markdown.normalize(decoders.decode(".html", page.encode())))
+    got = df.where("page_id IN (0, 1, 2, 399)").orderBy("page_id", "pos").collect()
+    assert [(r.page_id, r.pos, r.type, r.level, r.text, r.rows) for r in got] == [(399, *(b[k] for k in ("pos", "type", "level", "text", "rows"))) for b in want]
+    assert df.where("page_id = 5").count() == len(want)
+
+    @F.pandas_udf("long")
+    def together(html: pd.Series) -> pd.Series:
+        return pd.Series([int(html.str.len().sum())] * len(html))
+
+    most = spark.read.parquet(f"{tmp_path}/pages.parquet").select(together(F.coalesce("html", F.lit(""))).alias("n")).agg(F.max("n")).first()[0]
+    assert len(page) <= most <= BATCH_BYTES + len(page) < 397 * len(page)
+    bad = spark.createDataFrame([(".pdf", b"%PDF"), (".py", b"x"), (".md", b"# a")], "s string, c binary")
+    assert [len(r.b) for r in bad.select(decoders.blocks_of(F.col("s"), F.col("c")).alias("b")).collect()] == [0, 0, 1]
+
+
 def test_roots():
     assert files.normal_root('"C:\\a\\b"') == "/mnt/c/a/b" and files.normal_root("/x/../y/") == "/y"
 
